@@ -6,7 +6,7 @@ windows have equal anchors at equal offsets, and a window whose anchor stands in
 1. Units of documents (about ``UNIT`` bytes) send the hashes of their anchors and of the anchors' contexts (all windows of the anchor).
 2. Reducers by anchor settle contexts that equal one of a smaller document as a whole, and ask for the bytes
    of one document's copy of each context where an anchor has several contexts.
-3. Those contexts are sorted by a suffix array, built by linear grouping: suffixes are grouped by Lyndon
+3. Those contexts, but for the ones without any window hash that two documents share, are sorted by suffix arrays, built by linear grouping: suffixes are grouped by Lyndon
    prefix, groups processed in descending order over previous-smaller pointers, and each group's order
    is then emitted in one sweep, without recursive renaming. Neighbours that agree in ``SPAN`` bytes are compared byte by byte; the
    smallest document of each run keeps its window.
@@ -31,7 +31,7 @@ from .common import U, flat, span_hashes, table
 
 SPAN = 50
 GRAM = 16
-UNIT = 4_000_000
+UNIT = 2_000_000
 _PLACE = U((1 << 30) - 1)
 _48 = U((1 << 48) - 1)
 
@@ -94,8 +94,47 @@ def suffix_array(text) -> list[int]:
     return out
 
 
-def repeated_windows(contexts: list[bytes], docs: np.ndarray, span: int = SPAN) -> list[np.ndarray]:
-    """For each context, which window starts also start in a context of a smaller document."""
+def _candidates(contexts: list[bytes], docs: np.ndarray, span: int) -> np.ndarray:
+    """Contexts with a window whose hash is met in more than one document: only these need sorting."""
+    sizes = np.array([len(c) for c in contexts])
+    begin = np.cumsum(sizes) - sizes
+    n = sizes - span + 1
+    owner = np.repeat(np.arange(len(contexts)), n)
+    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[owner]
+    h = span_hashes(np.frombuffer(b"".join(contexts), np.uint8), start, start + span)
+    order = np.lexsort((docs[owner], h))
+    h, doc = h[order], docs[owner][order]
+    runs = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    size = np.diff(np.append(runs, len(h)))
+    several = np.repeat(doc[runs] != doc[runs + size - 1], size)
+    out = np.zeros(len(contexts), bool)
+    out[owner[order[several]]] = True
+    return out
+
+
+def repeated_windows(contexts: list[bytes], docs: np.ndarray, anchor: np.ndarray, span: int = SPAN, most: int = 250_000) -> list[np.ndarray]:
+    """For each context, which window starts also start in a context of a smaller document.
+
+    Contexts of one ``anchor`` are neighbours; windows of different anchors differ, so suffix arrays are
+    built for runs of whole anchors with about ``most`` bytes.
+    """
+    out = [np.zeros(len(c) - span + 1, bool) for c in contexts]
+    if not contexts:
+        return out
+    left = np.flatnonzero(_candidates(contexts, docs, span))
+    sizes = np.cumsum([len(contexts[i]) for i in left])
+    at = 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+        while to < len(left) and anchor[left[to]] == anchor[left[to - 1]]:
+            to += 1
+        for i, gone in zip(left[at:to], _sorted_windows([contexts[i] for i in left[at:to]], docs[left[at:to]], span)):
+            out[i] = gone
+        at = to
+    return out
+
+
+def _sorted_windows(contexts: list[bytes], docs: np.ndarray, span: int) -> list[np.ndarray]:
     sizes = np.array([len(c) for c in contexts])
     begin = np.cumsum(sizes + 1) - sizes - 1
     text = np.zeros(int(sizes.sum()) + len(contexts) + 1, np.int32)
@@ -176,7 +215,7 @@ def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
     d = docs.select(*dict.fromkeys([*keep, "text"])).withColumn("doc_id", F.col("doc_id").cast("long"))
     total = d.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     units = max(1, -(-total // UNIT))
-    reducers = max(1, min(4096, -(-units // 4)))
+    reducers = max(1, min(4096, -(-units // 8)))
     by_unit = d.withColumn("_u", F.pmod(F.xxhash64("text", "doc_id"), F.lit(units)))
 
     def unit(t):
@@ -252,7 +291,7 @@ def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
         own = np.empty(len(order), np.int64)
         own[order] = np.cumsum(new) - 1
         one = order[new]
-        gone = repeated_windows([whole[b : b + s] for b, s in zip(begin[one].tolist(), sizes[one].tolist())], doc[one])
+        gone = repeated_windows([whole[b : b + s] for b, s in zip(begin[one].tolist(), sizes[one].tolist())], doc[one], a[one])
         out, at = [], 0
         for n in t.column("n").to_pylist():
             n = len(_unpack(n, np.int64))
