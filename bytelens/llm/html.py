@@ -40,41 +40,31 @@ HINT = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_boiler", "has_article")
-#: Labelled blocks: the features in order, then 1 for main text.
-LABELLED = (
-    (40, 0.0, 12, 0.0, 55, 0.0, 1, 0, 1, 1),
-    (1, 0.0, 60, 0.0, 70, 0.0, 1, 0, 1, 1),
-    (8, 0.0, 0, 0.0, 90, 0.0, 1, 0, 1, 1),
-    (25, 0.2, 30, 0.0, 4, 0.0, 1, 0, 1, 1),
-    (3, 1.0, 45, 0.0, 60, 0.1, 1, 0, 1, 1),
-    (120, 0.0, 9, 0.0, 7, 0.5, 1, 0, 1, 1),
-    (2, 0.0, 35, 0.0, 11, 0.0, 1, 0, 1, 1),
-    (9, 1.0, 3, 0.0, 2, 1.0, 1, 0, 1, 1),
-    (14, 0.0, 80, 0.0, 20, 0.0, 1, 1, 1, 0),
-    (50, 0.0, 70, 0.0, 30, 0.0, 1, 1, 1, 0),
-    (4, 1.0, 20, 0.0, 4, 1.0, 1, 1, 1, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0),
-    (12, 0.0, 1, 1.0, 8, 0.0, 0, 1, 1, 0),
-    (45, 0.0, 40, 0.0, 35, 0.0, 0, 1, 1, 0),
-    (10, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0),
-    (60, 0.0, 2, 1.0, 8, 0.0, 0, 0, 1, 0),
-    (3, 0.0, 0, 0.0, 9, 0.0, 0, 0, 1, 0),
-    (6, 1.0, 5, 1.0, 6, 1.0, 0, 0, 1, 0),
-    (30, 0.0, 25, 0.0, 40, 0.0, 0, 0, 0, 1),
-    (18, 0.1, 45, 0.0, 22, 0.0, 0, 0, 0, 1),
-    (12, 0.0, 6, 0.0, 50, 0.0, 0, 0, 0, 1),
-    (75, 0.05, 2, 1.0, 3, 1.0, 0, 0, 0, 1),
-    (5, 0.0, 3, 0.0, 30, 0.0, 0, 0, 0, 1),
-    (4, 0.0, 45, 0.0, 38, 0.0, 0, 0, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0),
-    (3, 1.0, 2, 1.0, 4, 0.8, 0, 0, 0, 0),
-    (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0),
-    (15, 0.9, 10, 0.8, 4, 1.0, 0, 0, 0, 0),
-    (28, 0.0, 30, 0.0, 20, 0.0, 0, 1, 0, 0),
-    (3, 0.0, 2, 1.0, 4, 0.0, 0, 1, 0, 0),
-    (5, 0.8, 60, 0.0, 3, 1.0, 0, 0, 0, 0),
-    (3, 0.0, 4, 0.7, 2, 0.0, 0, 0, 0, 0),
+#: Shapes of blocks seen on pages without an article element: the first six features, then 1 for main text.
+SHAPES = (
+    (40, 0.0, 12, 0.0, 55, 0.0, 1),
+    (30, 0.0, 25, 0.0, 40, 0.0, 1),
+    (18, 0.1, 45, 0.0, 22, 0.0, 1),
+    (12, 0.0, 6, 0.0, 50, 0.0, 1),
+    (75, 0.05, 2, 1.0, 3, 1.0, 1),
+    (8, 0.0, 0, 0.0, 90, 0.0, 1),
+    (4, 0.0, 45, 0.0, 38, 0.0, 1),
+    (2, 0.0, 35, 0.0, 60, 0.0, 1),
+    (120, 0.0, 9, 0.0, 0, 0.0, 1),
+    (25, 0.2, 30, 0.0, 40, 0.0, 1),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0),
+    (3, 1.0, 45, 0.0, 60, 0.1, 0),
+    (2, 0.0, 1, 1.0, 1, 1.0, 0),
+    (15, 0.9, 10, 0.8, 4, 1.0, 0),
+    (5, 0.8, 60, 0.0, 3, 1.0, 0),
+    (3, 0.0, 4, 0.7, 2, 0.0, 0),
+    (9, 1.0, 3, 0.0, 2, 1.0, 0),
+    (1, 0.0, 1, 1.0, 3, 0.0, 0),
 )
+#: Where a block can stand: in an article, in boilerplate, article on the page; then its label (None: its shape's).
+STANDS = ((1, 0, 1, 1), (1, 1, 1, 0), (0, 1, 1, 0), (0, 0, 1, 0), (0, 1, 0, 0), (0, 0, 0, None))
+#: The labelled table: every shape in every place.
+LABELLED = tuple((*shape[:6], *place[:3], shape[6] if place[3] is None else place[3]) for place in STANDS for shape in SHAPES)
 
 
 def grow(rows: np.ndarray, depth: int = 6):
