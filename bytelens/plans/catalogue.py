@@ -7,7 +7,7 @@ from functools import partial
 from bytelens.functions.dialect import duck_sql, spark_sql
 
 from . import bytes as byte_plans
-from . import records
+from . import coded, records
 
 _SQL = {**byte_plans.SQL, **records.SQL}
 
@@ -16,5 +16,5 @@ def _run(query: str, spark, sf_dir: str):
     return spark_sql(spark, sf_dir, query)
 
 
-QUERIES: dict = {name: partial(_run, query) for name, query in _SQL.items()}
-ORACLES: dict = {name: duck_sql(query) for name, query in _SQL.items()}
+QUERIES: dict = {**{name: partial(_run, query) for name, query in _SQL.items()}, **coded.QUERIES}
+ORACLES: dict = {**{name: duck_sql(query) for name, query in _SQL.items()}, **coded.ORACLES}
