@@ -94,8 +94,8 @@ def suffix_array(text) -> list[int]:
     return out
 
 
-def _candidates(contexts: list[bytes], docs: np.ndarray, span: int) -> np.ndarray:
-    """Contexts with a window whose hash is met in more than one document: only these need sorting."""
+def _candidates(contexts: list[bytes], docs: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each context whose hash is met in more than one document: only these need sorting."""
     sizes = np.array([len(c) for c in contexts])
     begin = np.cumsum(sizes) - sizes
     n = sizes - span + 1
@@ -107,9 +107,12 @@ def _candidates(contexts: list[bytes], docs: np.ndarray, span: int) -> np.ndarra
     runs = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     size = np.diff(np.append(runs, len(h)))
     several = np.repeat(doc[runs] != doc[runs + size - 1], size)
-    out = np.zeros(len(contexts), bool)
-    out[owner[order[several]]] = True
-    return out
+    hit = order[several]
+    place = start[hit] - begin[owner[hit]]
+    first, last = np.full(len(contexts), len(owner) + 1), np.full(len(contexts), -1)
+    np.minimum.at(first, owner[hit], place)
+    np.maximum.at(last, owner[hit], place)
+    return first, last
 
 
 def repeated_windows(contexts: list[bytes], docs: np.ndarray, anchor: np.ndarray, span: int = SPAN, most: int = 250_000) -> list[np.ndarray]:
@@ -121,15 +124,17 @@ def repeated_windows(contexts: list[bytes], docs: np.ndarray, anchor: np.ndarray
     out = [np.zeros(len(c) - span + 1, bool) for c in contexts]
     if not contexts:
         return out
-    left = np.flatnonzero(_candidates(contexts, docs, span))
-    sizes = np.cumsum([len(contexts[i]) for i in left])
+    first, last = _candidates(contexts, docs, span)
+    left = np.flatnonzero(last >= 0)
+    parts = [contexts[i][first[i] : last[i] + span] for i in left]
+    sizes = np.cumsum([len(p) for p in parts])
     at = 0
     while at < len(left):
         to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
         while to < len(left) and anchor[left[to]] == anchor[left[to - 1]]:
             to += 1
-        for i, gone in zip(left[at:to], _sorted_windows([contexts[i] for i in left[at:to]], docs[left[at:to]], span)):
-            out[i] = gone
+        for i, gone in zip(left[at:to], _sorted_windows(parts[at:to], docs[left[at:to]], span)):
+            out[i][first[i] : last[i] + 1] = gone
         at = to
     return out
 
