@@ -126,16 +126,32 @@ def repeated_windows(contexts: list[bytes], docs: np.ndarray, anchor: np.ndarray
         return out
     first, last = _candidates(contexts, docs, span)
     left = np.flatnonzero(last >= 0)
-    parts = [contexts[i][first[i] : last[i] + span] for i in left]
+    # equal stretches are sorted once, for their smallest document
+    own: dict[bytes, int] = {}
+    least: list[int] = []
+    group = []
+    number = []
+    for i in left:
+        part = contexts[i][first[i] : last[i] + span]
+        k = own.setdefault(part, len(own))
+        number.append(k)
+        if k == len(least):
+            least.append(docs[i])
+            group.append(anchor[i])
+        elif docs[i] < least[k]:
+            least[k] = docs[i]
+    parts, least = list(own), np.array(least)
     sizes = np.cumsum([len(p) for p in parts])
+    found: list[np.ndarray] = []
     at = 0
-    while at < len(left):
+    while at < len(parts):
         to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
-        while to < len(left) and anchor[left[to]] == anchor[left[to - 1]]:
+        while to < len(parts) and group[to] == group[to - 1]:
             to += 1
-        for i, gone in zip(left[at:to], _sorted_windows(parts[at:to], docs[left[at:to]], span)):
-            out[i][first[i] : last[i] + 1] = gone
+        found += _sorted_windows(parts[at:to], least[at:to], span)
         at = to
+    for i, k in zip(left, number):
+        out[i][first[i] : last[i] + 1] = found[k] | (docs[i] > least[k])
     return out
 
 
