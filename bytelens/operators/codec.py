@@ -118,9 +118,12 @@ class Decoder:
             self.low, self.high, self.value = self.low << 1, self.high << 1 | 1, self.value << 1 | self._bit()
 
 
-def encode_block(block: bytes, width: int = 3) -> tuple[bool, bytes]:
-    """(stored raw, payload): raw where coding does not save a byte."""
-    model, out = Counts(width), Encoder()
+def encode_block(block: bytes, width: int = 3, predictor=Counts) -> tuple[bool, bytes]:
+    """(stored raw, payload): raw where coding does not save a byte.
+
+    ``predictor(width)`` has ``frequencies(past)``, 256 integers of at least one, and ``update(past, byte)``.
+    """
+    model, out = predictor(width), Encoder()
     for i, b in enumerate(block):
         past = block[max(0, i - width) : i]
         freq = model.frequencies(past)
@@ -135,10 +138,10 @@ def encode_block(block: bytes, width: int = 3) -> tuple[bool, bytes]:
     return (True, block) if len(coded) >= len(block) else (False, coded)
 
 
-def decode_block(raw: bool, payload: bytes, size: int, width: int = 3) -> bytes:
+def decode_block(raw: bool, payload: bytes, size: int, width: int = 3, predictor=Counts) -> bytes:
     if raw:
         return payload
-    model, source, out = Counts(width), Decoder(payload), bytearray()
+    model, source, out = predictor(width), Decoder(payload), bytearray()
     for i in range(size):
         past = bytes(out[max(0, i - width) : i])
         freq = model.frequencies(past)
@@ -149,13 +152,13 @@ def decode_block(raw: bool, payload: bytes, size: int, width: int = 3) -> bytes:
     return bytes(out)
 
 
-def pack(blocks: DataFrame, width: int = 3) -> DataFrame:
+def pack(blocks: DataFrame, width: int = 3, predictor=Counts) -> DataFrame:
     """(id, blk, block) to an archive: (id, blk, size, raw, payload, check)."""
 
     def run(batches):
         for b in batches:
             data = b.column("block").to_pylist()
-            coded = [encode_block(x, width) for x in data]
+            coded = [encode_block(x, width, predictor) for x in data]
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": b.column("id"),
@@ -170,27 +173,27 @@ def pack(blocks: DataFrame, width: int = 3) -> DataFrame:
     return blocks.select("id", "blk", "block").mapInArrow(run, "id long, blk long, size long, raw boolean, payload binary, check binary")
 
 
-def unpack(archive: DataFrame, width: int = 3) -> DataFrame:
+def unpack(archive: DataFrame, width: int = 3, predictor=Counts) -> DataFrame:
     """The blocks of an archive with ``intact``: whether the block agrees with its check."""
 
     def run(batches):
         for b in batches:
             rows = zip(*(b.column(c).to_pylist() for c in ("raw", "payload", "size")))
-            data = [decode_block(r, p, n, width) for r, p, n in rows]
+            data = [decode_block(r, p, n, width, predictor) for r, p, n in rows]
             ok = [hashlib.sha256(x).digest()[:8] == c for x, c in zip(data, b.column("check").to_pylist())]
             yield pa.RecordBatch.from_pydict({"id": b.column("id"), "blk": b.column("blk"), "block": pa.array(data, pa.binary()), "intact": pa.array(ok, pa.bool_())})
 
     return archive.mapInArrow(run, "id long, blk long, block binary, intact boolean")
 
 
-def read_range(archive: DataFrame, begin: int, size: int, block: int, width: int = 3) -> DataFrame:
+def read_range(archive: DataFrame, begin: int, size: int, block: int, width: int = 3, predictor=Counts) -> DataFrame:
     """Bytes [begin, begin + size) of every stream, decoding only the blocks that cover them; short at the end."""
     if begin < 0 or size < 0:
         raise ValueError("a range cannot be negative")
     hit = archive.filter((F.col("blk") * block < begin + size) & (F.col("blk") * block + F.col("size") > begin))
     off = F.col("blk") * block
     piece = F.expr("substring(block, CAST(a AS INT) + 1, CAST(z - a AS INT))")
-    got = unpack(hit, width).withColumn("a", F.greatest(F.lit(begin) - off, F.lit(0))).withColumn("z", F.least(F.lit(begin + size) - off, F.octet_length("block")))
+    got = unpack(hit, width, predictor).withColumn("a", F.greatest(F.lit(begin) - off, F.lit(0))).withColumn("z", F.least(F.lit(begin + size) - off, F.octet_length("block")))
     got = got.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("blk", piece.alias("p")))).alias("x"), F.every("intact").alias("intact"))
     return got.select("id", F.aggregate("x", F.lit(b""), lambda s, e: F.concat(s, e["p"])).alias("data"), "intact")
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelens.operators import codec, resample
+from bytelens.operators import codec, mixing, phrases, resample, twopass
 from bytelens.sources.corpora import blocks
 from bytelens.streaming import blocks as streams
 
@@ -59,7 +59,85 @@ def q113_bca_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.bca_by(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_mktsegment", "c_acctbal")
 
 
-QUERIES = {f.__name__: f for f in (q70_codec_roundtrip, q71_archive_sizes, q72_read_verified, q73_tamper_detect, q65c_compressor_costs, q114_lz78_bits, q87_lru_hit_rate, q113_bca_interval)}
+def _roundtrip(spark: SparkSession, sf_dir: str, width: int, predictor) -> DataFrame:
+    got = codec.unpack(codec.pack(_blocks(spark, sf_dir), width, predictor), width, predictor)
+    return got.select(F.col("id").alias("item_id"), "blk", F.sha2("block", 256).alias("sha"), "intact")
+
+
+def q74_cm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _roundtrip(spark, sf_dir, 3, mixing.Mixed)
+
+
+def q75_hashed_cm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _roundtrip(spark, sf_dir, 6, mixing.Hashed)
+
+
+def q74b_cm_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes under the counting, the mixing and the hashed mixing predictor."""
+    sizes = [codec.pack(_blocks(spark, sf_dir), w, p).select(F.lit(name).alias("predictor"), F.octet_length("payload").alias("n"), "size") for name, w, p in (("counts", 3, codec.Counts), ("mixed", 3, mixing.Mixed), ("hashed", 6, mixing.Hashed))]
+    return sizes[0].unionByName(sizes[1]).unionByName(sizes[2]).groupBy("predictor").agg(F.sum("n").cast("long").alias("coded"), F.sum("size").alias("bytes"))
+
+
+def _frozen(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.lit("benchmark").alias("corpus"), "text").repartition(8)
+    kept = twopass.prune(twopass.gram_counts(items, width), width)
+    return twopass.pack_frozen(_blocks(spark, sf_dir).withColumn("corpus", F.lit("benchmark")), kept, width)
+
+
+def q33_two_pass_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frozen(spark, sf_dir, 2).select(F.col("id").alias("item_id"), "blk", F.sha2("again", 256).alias("sha"))
+
+
+def q33b_two_pass_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coded bytes with the model against one adaptive pass; equal goes to the single pass."""
+    two = _frozen(spark, sf_dir, 2).agg((F.sum(F.octet_length("payload")) + F.max("model_size") + 4).cast("long").alias("two_pass"))
+    one = codec.pack(_blocks(spark, sf_dir)).agg(F.sum(F.octet_length("payload")).cast("long").alias("one_pass"))
+    return one.crossJoin(two).select("*", F.when(F.col("two_pass") < F.col("one_pass"), "two-pass").otherwise("single-pass").alias("chosen"))
+
+
+def q32_auto_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model and payload of each width; the smallest sum wins, the smaller width of equals."""
+    rows = [_frozen(spark, sf_dir, w).agg((F.sum(F.octet_length("payload")) + F.max("model_size")).cast("long").alias("bytes")).select(F.lit(w).alias("width"), "bytes") for w in (1, 2, 3)]
+    all_ = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    best = all_.agg(F.min(F.struct("bytes", "width")).alias("b"))
+    return all_.crossJoin(best).select("width", "bytes", (F.col("width") == F.col("b.width")).alias("chosen"))
+
+
+def q76_dictionary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            plain = b.column("block").to_pylist()
+            coded = [phrases.encode(x) for x in plain]
+            back = [phrases.decode(*c) for c in coded]
+            yield pa.RecordBatch.from_pydict({"item_id": b.column("id"), "blk": b.column("blk"), "again": pa.array(back, pa.binary())})
+
+    got = _items(spark, sf_dir).mapInArrow(run, "item_id long, blk long, again binary")
+    return got.select("item_id", "blk", F.sha2("again", 256).alias("sha"))
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet").repartition(8), "item_id", "text", 1024)
+
+
+def q77_parse_saving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases, archive bits, and bits of the one parse against all parses."""
+
+    def run(batches):
+        for b in batches:
+            out = {"item_id": b.column("id"), "blk": b.column("blk")}
+            rows = []
+            for x in b.column("block").to_pylist():
+                p, _, payload = phrases.encode(x)
+                rows.append((len(p), phrases.archive_bits(p, payload), *(round(v, 6) for v in phrases.parse_saving(x, p))))
+            for i, (name, kind) in enumerate((("phrases", pa.int64()), ("archive_bits", pa.int64()), ("one_parse", pa.float64()), ("all_parses", pa.float64()))):
+                out[name] = pa.array([r[i] for r in rows], kind)
+            yield pa.RecordBatch.from_pydict(out)
+
+    return _items(spark, sf_dir).mapInArrow(run, "item_id long, blk long, phrases long, archive_bits long, one_parse double, all_parses double")
+
+
+QUERIES = {f.__name__: f for f in (q70_codec_roundtrip, q71_archive_sizes, q72_read_verified, q73_tamper_detect, q65c_compressor_costs, q114_lz78_bits, q87_lru_hit_rate, q113_bca_interval,
+    q74_cm_roundtrip, q75_hashed_cm_roundtrip, q74b_cm_sizes, q33_two_pass_roundtrip, q33b_two_pass_fallback, q32_auto_width, q76_dictionary_roundtrip, q77_parse_saving)}
 QUERIES |= {"q89_stream_event_counts": streams.stream_event_counts, "q90_stream_daily": streams.stream_hourly, "q91_dedupe_sink": streams.dedupe_sink}
 ORACLES = {
     "q70_codec_roundtrip": "WITH d AS (SELECT item_id, encode(text) AS b FROM benchmark), k AS (SELECT item_id, b, unnest(range((octet_length(b) + 127) // 128)) AS blk FROM d) SELECT item_id, blk, sha256(b[blk * 128 + 1 : blk * 128 + 128]) AS sha, true AS intact FROM k",
@@ -69,3 +147,6 @@ ORACLES = {
     "q90_stream_daily": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "q91_dedupe_sink": "SELECT DISTINCT event_id, user_id, event_type FROM events",
 }
+ORACLES["q74_cm_roundtrip"] = ORACLES["q75_hashed_cm_roundtrip"] = ORACLES["q70_codec_roundtrip"]
+ORACLES["q33_two_pass_roundtrip"] = ORACLES["q70_codec_roundtrip"].replace(", true AS intact", "")
+ORACLES["q76_dictionary_roundtrip"] = ORACLES["q33_two_pass_roundtrip"].replace("127", "1023").replace("128", "1024")
