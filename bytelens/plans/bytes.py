@@ -128,6 +128,11 @@ SELECT q.doc_id, q.p, count(*) AS blocks, min(k.blk) AS first_block, max(k.blk)
 AND k.blk * 1024 < q.p + 3000 AND k.blk * 1024 + 1024 > q.p GROUP BY q.doc_id, q.p""",
     "q45_decode_window_bound": _BLK + """, q AS (SELECT doc_id, n, @SEED{concat('read:', CAST(doc_id AS VARCHAR(20)))} % n AS p FROM d WHERE n > 0)
 SELECT doc_id, p % 1024 AS warm_up, least(n, p + 500) - (p - p % 1024) AS decoded, p % 1024 <= 1023 AND least(n, p + 500) - (p - p % 1024) <= 1524 AS within FROM q""",
+    "q13_cmi_chunk_boot": """WITH @GRAMS, k AS (SELECT doc_id, @DIV{i|2048} AS chunk, p1 AS c, substr(h, 1, 1) AS a, substr(h, 2, 1) AS b, count(*) AS n FROM g WHERE i >= 1 GROUP BY doc_id, @DIV{i|2048}, p1, substr(h, 1, 1), substr(h, 2, 1)),
+u AS (SELECT r.id AS r, k.*, @SEED{concat('cmi:', CAST(r.id AS VARCHAR(20)), ':', CAST(doc_id AS VARCHAR(20)), ':', CAST(chunk AS VARCHAR(20)))} % 10000 AS u FROM k CROSS JOIN @IDS{4} r),
+w AS (SELECT r, c, a, b, sum(n * CASE WHEN u < 3679 THEN 0 WHEN u < 7358 THEN 1 WHEN u < 9197 THEN 2 WHEN u < 9810 THEN 3 WHEN u < 9963 THEN 4 WHEN u < 9994 THEN 5 ELSE 6 END) AS n FROM u GROUP BY r, c, a, b),
+t AS (SELECT *, sum(n) OVER (PARTITION BY r, c) AS nc, sum(n) OVER (PARTITION BY r, c, a) AS na, sum(n) OVER (PARTITION BY r, c, b) AS nb FROM w WHERE n > 0)
+SELECT CAST(r AS BIGINT) AS resample, round(sum(n * (log2(n) + log2(nc) - log2(na) - log2(nb))) / sum(n), 6) AS cmi, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY r""",
     "q46_phrase_candidates": """WITH d AS (SELECT item_id, hex(@UTF{text}) AS hx, octet_length(@UTF{text}) AS n FROM benchmark),
 e AS (SELECT item_id, hx, n, @EACH{0|n - 2} AS i FROM d WHERE n >= 2),
 s AS (SELECT substr(hx, CAST(2 * i + 1 AS INT), CAST(2 * l AS INT)) AS phrase, l FROM e CROSS JOIN (SELECT id + 2 AS l FROM @IDS{6}) WHERE i + l <= n),

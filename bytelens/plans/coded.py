@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelens.operators import codec, mixing, phrases, resample, twopass
+from bytelens.operators import codec, enumerative, mixing, phrases, resample, twopass
 from bytelens.sources.corpora import blocks
 from bytelens.streaming import blocks as streams
 
@@ -136,8 +136,24 @@ def q77_parse_saving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(spark, sf_dir).mapInArrow(run, "item_id long, blk long, phrases long, archive_bits long, one_parse double, all_parses double")
 
 
+def q88_tail_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [enumerative.tail_probability(spark, [0.5, 0.25, 0.15, 0.1], n, 2.2, 2000).select(F.lit(n).alias("steps"), F.round("tail", 9).alias("tail"), "hits") for n in (20, 40, 80)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def q111_set_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of each part as a number; the set read back."""
+    got = enumerative.set_ranks(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_partkey", "l_suppkey")
+    return got.select("l_partkey", F.col("size").alias("n"), F.array_join(F.array_sort("back"), ",").alias("suppliers"))
+
+
+def q112_huffman_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = enumerative.huffman_by(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "event_type")
+    return got.select("user_id", "symbols", "n", F.round("mean_bits", 6).alias("mean_bits"))
+
+
 QUERIES = {f.__name__: f for f in (q70_codec_roundtrip, q71_archive_sizes, q72_read_verified, q73_tamper_detect, q65c_compressor_costs, q114_lz78_bits, q87_lru_hit_rate, q113_bca_interval,
-    q74_cm_roundtrip, q75_hashed_cm_roundtrip, q74b_cm_sizes, q33_two_pass_roundtrip, q33b_two_pass_fallback, q32_auto_width, q76_dictionary_roundtrip, q77_parse_saving)}
+    q74_cm_roundtrip, q75_hashed_cm_roundtrip, q74b_cm_sizes, q33_two_pass_roundtrip, q33b_two_pass_fallback, q32_auto_width, q76_dictionary_roundtrip, q77_parse_saving, q88_tail_importance, q111_set_ranks, q112_huffman_length)}
 QUERIES |= {"q89_stream_event_counts": streams.stream_event_counts, "q90_stream_daily": streams.stream_hourly, "q91_dedupe_sink": streams.dedupe_sink}
 ORACLES = {
     "q70_codec_roundtrip": "WITH d AS (SELECT item_id, encode(text) AS b FROM benchmark), k AS (SELECT item_id, b, unnest(range((octet_length(b) + 127) // 128)) AS blk FROM d) SELECT item_id, blk, sha256(b[blk * 128 + 1 : blk * 128 + 128]) AS sha, true AS intact FROM k",
@@ -150,3 +166,4 @@ ORACLES = {
 ORACLES["q74_cm_roundtrip"] = ORACLES["q75_hashed_cm_roundtrip"] = ORACLES["q70_codec_roundtrip"]
 ORACLES["q33_two_pass_roundtrip"] = ORACLES["q70_codec_roundtrip"].replace(", true AS intact", "")
 ORACLES["q76_dictionary_roundtrip"] = ORACLES["q33_two_pass_roundtrip"].replace("127", "1023").replace("128", "1024")
+ORACLES["q111_set_ranks"] = "SELECT l_partkey, count(DISTINCT l_suppkey) AS n, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') AS suppliers FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY l_partkey"

@@ -93,6 +93,12 @@ SELECT idx, round(p, 6) AS p, min(CASE WHEN p <= 0.05 / (m - rk + 1) THEN 1 ELSE
     "q107_model_tradeoff": "SELECT CAST(id AS BIGINT) AS id, round(power(CAST((id + 1) * 2100 AS DOUBLE), CAST(1 AS DOUBLE) / CAST(1.7 AS DOUBLE)), 4) AS best_l FROM @IDS{20}",
     "q108_latest_record": "WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rk FROM events) SELECT user_id, event_id, event_type FROM r WHERE rk = 1",
     "q109_fields_flat": "SELECT event_id, round(value, 3) AS enc_mb_s, coalesce(event_type, 'none') AS family FROM events WHERE event_type IN ('click', 'view', 'purchase') OR event_type IS NOT NULL",
-    "q110_embedding_sign_entropy": "WITH e AS (SELECT vec_id, CASE WHEN embedding[@FIRST] > 0 THEN 1 ELSE 0 END AS s FROM embeddings) SELECT s, count(*) AS n FROM e GROUP BY s",
+    "q80_kt_codelength_types": "WITH s AS (SELECT k.id AS k, i.id AS i FROM @IDS{17} k CROSS JOIN @IDS{16} i) SELECT CAST(k AS BIGINT) AS k, round(sum(log2(i + 1.0) - CASE WHEN i < k THEN log2(i + 0.5) ELSE log2(i - k + 0.5) END), 6) AS bits FROM s GROUP BY k",
+    "q102_cooccurrence_edges": """WITH l AS (SELECT item_id, @WORDS{text} AS l FROM benchmark), e AS (SELECT item_id, l, @EACH{1|@LEN{l}} AS i FROM l WHERE @LEN{l} > 0), t AS (SELECT item_id, i, @AT{l|i} AS w FROM e),
+n AS (SELECT w, lead(w, 1) OVER v AS w1, lead(w, 2) OVER v AS w2 FROM t WINDOW v AS (PARTITION BY item_id ORDER BY i)),
+p AS (SELECT least(w, w1) AS a, greatest(w, w1) AS b FROM n WHERE w1 <> w UNION ALL SELECT least(w, w2), greatest(w, w2) FROM n WHERE w2 <> w)
+SELECT a, b, count(*) AS n FROM p GROUP BY a, b""",
+    "q103_embedding_bit_tc": f"WITH r AS (SELECT {', '.join(f'CASE WHEN @AT{{embedding|{k}}} > 0 THEN 1 ELSE 0 END AS d{k}' for k in range(1, 7))} FROM embeddings WHERE embedding IS NOT NULL) SELECT round({' + '.join(_h(f'd{k}') for k in range(1, 7))} - {_h(', '.join(f'd{k}' for k in range(1, 7)))}, 6) AS tc",
+    "q110_zipf_weights": "WITH w AS (SELECT id + 1 AS k, 1.0 / (id + 1) AS w FROM @IDS{100}), c AS (SELECT k, sum(w) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) / sum(w) OVER () AS hit FROM w) SELECT CAST(k AS BIGINT) AS capacity, round(CAST(hit AS DOUBLE), 6) AS lfu_hit FROM c",
+    "q115_sum_order_invariance": "WITH x AS (SELECT l_orderkey % 16 AS part_no, l_partkey * 1000003 + l_suppkey AS v FROM lineitem), p AS (SELECT part_no, sum(v) AS s FROM x GROUP BY part_no) SELECT CAST((SELECT sum(s) FROM p) AS BIGINT) AS by_parts, CAST((SELECT sum(v) FROM x) AS BIGINT) AS at_once",
 }
-del SQL["q110_embedding_sign_entropy"]
