@@ -105,7 +105,7 @@ SELECT source, round(sum(c * (log2(256 + 32 * t) - log2(1 + 32 * c))), 2) AS bit
 j AS (SELECT source, p1, h, count(*) AS c FROM g WHERE i >= 1 GROUP BY source, p1, h), a1 AS (SELECT *, sum(c) OVER (PARTITION BY source, p1) AS t FROM j),
 s AS (SELECT a1.source, a1.p1, sum(a1.c * ((log2(256 + 32 * a0.t) - log2(1 + 32 * a0.c)) - (log2(256 + 32 * a1.t) - log2(1 + 32 * a1.c)))) AS gain,
   count(*) * 2 + sum(CASE WHEN a1.c < 128 THEN 1 WHEN a1.c < 16384 THEN 2 ELSE 3 END) + 2 AS cost_bytes FROM a1 JOIN a0 ON a1.source = a0.source AND a1.h = a0.h GROUP BY a1.source, a1.p1)
-SELECT source, count(*) AS contexts, sum(CASE WHEN gain > 8 * cost_bytes THEN CAST(1 AS BIGINT) ELSE 0 END) AS kept FROM s GROUP BY source""",
+SELECT source, count(*) AS contexts, CAST(sum(CASE WHEN gain > 8 * cost_bytes THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM s GROUP BY source""",
     "q34_class_partition": """WITH @GRAMS, j AS (SELECT p1, x, count(*) AS c FROM g WHERE i >= 1 GROUP BY p1, x),
 r AS (SELECT *, row_number() OVER (PARTITION BY p1 ORDER BY c DESC, x) AS rk FROM j)
 SELECT p1, CASE WHEN rk = 1 THEN 'C0' WHEN rk <= 16 THEN 'CAND' ELSE 'ESC' END AS class, CAST(sum(c) AS BIGINT) AS total FROM r

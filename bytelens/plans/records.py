@@ -50,26 +50,26 @@ SELECT (SELECT round(-sum(c / n.n * log2(c / n.n)), 6) FROM j CROSS JOIN n) AS f
     "q47_seed_table": "SELECT id, @SEED{concat('20260710:boot:x:', CAST(id AS VARCHAR(20)))} AS seed FROM @IDS{100}",
     "q48_boot_percentile_mean": _boot(200, "avg(x.v)", "boot") + " SELECT round(@PCT{s|0.025}, 4) AS lo, round(@PCT{s|0.975}, 4) AS hi, round(avg(s), 4) AS mid FROM s",
     "q49_paired_diff_cohen_d": "WITH p AS (SELECT a.l_orderkey, a.l_extendedprice - b.l_extendedprice AS d FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2) SELECT count(*) AS n, round(avg(d), 4) AS diff, round(CASE WHEN stddev_samp(d) = 0 THEN 0 ELSE avg(d) / stddev_samp(d) END, 6) AS cohen_d FROM p",
-    "q50_boot_p": _boot(200, "avg(x.v - 36000)", "p") + " SELECT round(least(1.0, 2 * least((sum(CASE WHEN s <= 0 THEN 1 ELSE 0 END) + 1) / 201.0, (sum(CASE WHEN s >= 0 THEN 1 ELSE 0 END) + 1) / 201.0)), 6) AS p FROM s",
+    "q50_boot_p": _boot(200, "avg(x.v - 36000)", "p") + " SELECT round(least(CAST(1 AS DOUBLE), 2 * least((sum(CASE WHEN s <= 0 THEN 1 ELSE 0 END) + 1) / CAST(201 AS DOUBLE), (sum(CASE WHEN s >= 0 THEN 1 ELSE 0 END) + 1) / CAST(201 AS DOUBLE))), 6) AS p FROM s",
     "q51_holm": """WITH p AS (SELECT p_partkey AS idx, (@SEED{concat('holm:', CAST(p_partkey AS VARCHAR(20)))} % 10000) / 1000000.0 AS p FROM part WHERE p_partkey <= 40), r AS (SELECT *, row_number() OVER (ORDER BY p, idx) AS rk, count(*) OVER () AS m FROM p)
-SELECT idx, round(p, 6) AS p, min(CASE WHEN p <= 0.05 / (m - rk + 1) THEN 1 ELSE 0 END) OVER (ORDER BY rk ROWS UNBOUNDED PRECEDING) = 1 AS rejected FROM r""",
+SELECT idx, CAST(round(p, 6) AS DOUBLE) AS p, min(CASE WHEN p <= 0.05 / (m - rk + 1) THEN 1 ELSE 0 END) OVER (ORDER BY rk ROWS UNBOUNDED PRECEDING) = 1 AS rejected FROM r""",
     "q52_jackknife": "WITH x AS (SELECT o_orderkey, o_totalprice AS v FROM orders), t AS (SELECT sum(v) AS s, count(*) AS n FROM x) SELECT o_orderkey, round((s - v) / (n - 1), 2) AS loo_mean FROM x CROSS JOIN t",
     "q53_ratio_boot": _boot(200, "sum(x.v) / sum(x.u)", "ratio") + " SELECT round(@PCT{s|0.025}, 4) AS lo, round(@PCT{s|0.975}, 4) AS hi FROM s",
     "q54_supersede_anti": "WITH s AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 = 0) SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.k = orders.o_orderkey + 1)".replace("orders.o_orderkey + 1", "o_orderkey + 1"),
     "q55_resume_anti": "WITH c AS (SELECT n_nationkey AS a, id AS b FROM nation CROSS JOIN @IDS{5}), d AS (SELECT DISTINCT c_nationkey AS a, c_custkey % 7 AS b FROM customer) SELECT CAST(c.a AS BIGINT) AS a, CAST(c.b AS BIGINT) AS b FROM c LEFT JOIN d ON c.a = d.a AND c.b = d.b WHERE d.a IS NULL",
     "q56_plan_cells_cross": "SELECT r_name, n_name, CAST(id AS BIGINT) AS run_idx FROM region CROSS JOIN nation CROSS JOIN @IDS{3}",
     "q57_group_summary": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_extendedprice), 4) AS mean_price, max(l_quantity) AS max_qty, CASE WHEN count(*) < 3 THEN '--' WHEN min(l_tax) = max(l_tax) THEN 'degenerate' ELSE 'ok' END AS ci_kind FROM lineitem GROUP BY l_returnflag, l_linestatus",
-    "q58_campaign_aggregate": f"WITH {_RUNS} SELECT ctype, coder, count(*) AS n_runs, round(avg(CASE WHEN status = 'done' THEN enc_s END), 3) AS enc_s, sum(CASE WHEN status = 'censored' THEN CAST(1 AS BIGINT) ELSE 0 END) AS n_censored, sum(CASE WHEN status = 'failed' THEN CAST(1 AS BIGINT) ELSE 0 END) AS n_failed, min(CASE WHEN roundtrip_ok THEN 1 ELSE 0 END) = 1 AS all_ok FROM r GROUP BY ctype, coder",
+    "q58_campaign_aggregate": f"WITH {_RUNS} SELECT ctype, coder, count(*) AS n_runs, round(avg(CASE WHEN status = 'done' THEN enc_s END), 3) AS enc_s, CAST(sum(CASE WHEN status = 'censored' THEN 1 ELSE 0 END) AS BIGINT) AS n_censored, CAST(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS n_failed, min(CASE WHEN roundtrip_ok THEN 1 ELSE 0 END) = 1 AS all_ok FROM r GROUP BY ctype, coder",
     "q59_pareto_front": "WITH p AS (SELECT p_partkey AS k, p_size AS thr, round(p_retailprice, 0) AS bpb FROM part) SELECT k, thr, bpb FROM (SELECT *, min(bpb) OVER (ORDER BY thr DESC, bpb, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p) z WHERE b IS NULL OR bpb < b",
     "q60_median_p95": "WITH x AS (SELECT o_orderpriority AS g, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT g, round(@PCT{v|0.5}, 4) AS median, round(max(CASE WHEN k = least(n - 1, floor(0.95 * n)) THEN v END), 4) AS p95 FROM x GROUP BY g",
     "q61_determinism_witness": "SELECT l_suppkey, max(l_orderkey) AS max_run, count(DISTINCT l_returnflag) AS shas, count(DISTINCT l_returnflag) <= 1 AS deterministic FROM lineitem GROUP BY l_suppkey",
-    "q62_leg_compare": "WITH a AS (SELECT c_custkey AS k, c_nationkey AS v FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT s_suppkey AS k, s_nationkey AS v FROM supplier) SELECT count(*) AS rows_seen, sum(CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN CAST(1 AS BIGINT) ELSE 0 END) AS matched, sum(CASE WHEN a.v = b.v THEN CAST(1 AS BIGINT) ELSE 0 END) AS equal FROM a FULL OUTER JOIN b ON a.k = b.k",
+    "q62_leg_compare": "WITH a AS (SELECT c_custkey AS k, c_nationkey AS v FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT s_suppkey AS k, s_nationkey AS v FROM supplier) SELECT count(*) AS rows_seen, CAST(sum(CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS matched, CAST(sum(CASE WHEN a.v = b.v THEN 1 ELSE 0 END) AS BIGINT) AS equal FROM a FULL OUTER JOIN b ON a.k = b.k",
     "q63_verdict_engine": "WITH m AS (SELECT n_nationkey, n_name, avg(c_acctbal) / 10000 AS spread FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name) SELECT n_name, CASE WHEN spread <= 0.40 THEN 'fails' WHEN spread <= 0.45 THEN 'marginal' ELSE 'qualifies' END AS verdict, concat('spread ', CAST(CAST(round(spread * 1000) AS BIGINT) AS VARCHAR(20))) AS reason FROM m",
     "q64_manifest_patch_sets": "WITH q AS (SELECT c_nationkey AS k, c_mktsegment AS s, avg(c_acctbal) > 4500 AS ok FROM customer GROUP BY c_nationkey, c_mktsegment), p AS (SELECT DISTINCT s_nationkey AS k, 'BUILDING' AS s FROM supplier) SELECT q.k, @SORTED{CASE WHEN ok AND p.k IS NULL THEN q.s END} AS added, @SORTED{CASE WHEN NOT ok AND p.k IS NOT NULL THEN q.s END} AS removed FROM q LEFT JOIN p ON q.k = p.k AND q.s = p.s GROUP BY q.k",
     "q65_mode_costs": f"WITH {_COST} SELECT source, CAST(mode AS BIGINT) AS mode, CAST(sum(bits) AS BIGINT) AS bits FROM c GROUP BY source, mode",
-    "q66_oracle_fixed_regret": _SEL + ", f AS (SELECT source, mode, sum(bits) AS bits FROM c GROUP BY source, mode), b AS (SELECT source, min(bits) AS fixed FROM f GROUP BY source), s AS (SELECT source, sum(best) AS best FROM o GROUP BY source) SELECT b.source, round((fixed - best) * 1.0 / best, 6) AS regret FROM b JOIN s ON b.source = s.source",
-    "q67_prefix_selector": _SEL + ", u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY 4 * @DIV{bits|4}, mode) AS r2 FROM c) SELECT u.source, round(sum(u.bits + 3 - o.best) * 1.0 / sum(o.best), 6) AS regret FROM u JOIN o ON u.doc_id = o.doc_id WHERE u.r2 = 1 GROUP BY u.source",
-    "q68_causal_selector": _SEL + ", l AS (SELECT *, lag(bits * 1.0 / n, 1) OVER (PARTITION BY source, mode ORDER BY doc_id) * n AS u FROM c), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(coalesce(u, 0), 6), mode) AS r2 FROM l) SELECT s.source, round(sum(s.bits - o.best) * 1.0 / sum(o.best), 6) AS regret FROM s JOIN o ON s.doc_id = o.doc_id WHERE r2 = 1 GROUP BY s.source",
+    "q66_oracle_fixed_regret": _SEL + ", f AS (SELECT source, mode, sum(bits) AS bits FROM c GROUP BY source, mode), b AS (SELECT source, min(bits) AS fixed FROM f GROUP BY source), s AS (SELECT source, sum(best) AS best FROM o GROUP BY source) SELECT b.source, round(CAST(fixed - best AS DOUBLE) / best, 6) AS regret FROM b JOIN s ON b.source = s.source",
+    "q67_prefix_selector": _SEL + ", u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY 4 * @DIV{bits|4}, mode) AS r2 FROM c) SELECT u.source, round(CAST(sum(u.bits + 3 - o.best) AS DOUBLE) / sum(o.best), 6) AS regret FROM u JOIN o ON u.doc_id = o.doc_id WHERE u.r2 = 1 GROUP BY u.source",
+    "q68_causal_selector": _SEL + ", l AS (SELECT *, lag(bits * 1.0 / n, 1) OVER (PARTITION BY source, mode ORDER BY doc_id) * n AS u FROM c), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(coalesce(u, 0), 6), mode) AS r2 FROM l) SELECT s.source, round(CAST(sum(s.bits - o.best) AS DOUBLE) / sum(o.best), 6) AS regret FROM s JOIN o ON s.doc_id = o.doc_id WHERE r2 = 1 GROUP BY s.source",
     "q69_2eps_bound": _SEL + ", u AS (SELECT *, 4 * @DIV{bits|4} AS u FROM c), e AS (SELECT doc_id, max(abs(u - bits)) AS eps FROM u GROUP BY doc_id), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY u, mode) AS r2 FROM u) SELECT s.doc_id, s.bits <= o.best + 2 * e.eps AS holds FROM s JOIN o ON s.doc_id = o.doc_id JOIN e ON s.doc_id = e.doc_id WHERE r2 = 1",
     "q65b_winner_table": _SEL + " SELECT source, CAST(mode AS BIGINT) AS mode, count(*) AS wins FROM rk WHERE rk = 1 GROUP BY source, mode",
     "q78_iid_rate_function": "WITH t AS (SELECT id, id * 0.05 AS t FROM @IDS{1200}), l AS (SELECT t, log2(0.5 * power(0.5, -t) + 0.25 * power(0.25, -t) + 0.15 * power(0.15, -t) + 0.1 * power(0.1, -t)) AS lam FROM t), r AS (SELECT id, 1.9 + id * 0.1 AS rate FROM @IDS{10}) SELECT CAST(id AS BIGINT) AS id, round(max(t * rate - lam), 6) AS e FROM r CROSS JOIN l GROUP BY id",
