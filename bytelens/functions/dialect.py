@@ -14,17 +14,23 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 _DIGITS = "'0123456789ABCDEF'"
 _VALUE = f"CAST((instr({_DIGITS}, substr(h, 1, 1)) - 1) * 16 + instr({_DIGITS}, substr(h, 2, 1)) - 1 AS BIGINT)"
-#: bb: every byte of every text with its place; g: with the three bytes before it.
+#: bb: every byte of every text with its place; g: with the three bytes before it, taken from the text's own array.
 _BYTES = {
-    "spark": f"""bb0 AS (SELECT doc_id, source, lang, octet_length(text) AS len, posexplode(regexp_extract_all(hex(encode(text, 'UTF-8')), '..', 0)) AS (i0, h)
-  FROM (SELECT /*+ REPARTITION(64) */ * FROM documents) WHERE octet_length(text) > 0),
-bb AS (SELECT doc_id, source, lang, CAST(len AS BIGINT) AS len, CAST(i0 AS BIGINT) AS i, h, {_VALUE} AS x FROM bb0)""",
+    "spark": f"""bb1 AS (SELECT doc_id, source, lang, octet_length(text) AS len, regexp_extract_all(hex(encode(text, 'UTF-8')), '..', 0) AS l
+  FROM documents WHERE octet_length(text) > 0),
+bb0 AS (SELECT doc_id, source, lang, CAST(len AS BIGINT) AS len, l, posexplode(l) AS (i0, h) FROM bb1),
+bb AS (SELECT doc_id, source, lang, len, CAST(i0 AS BIGINT) AS i, h, {_VALUE} AS x FROM bb0)""",
     "duck": f"""bb0 AS (SELECT doc_id, source, lang, octet_length(encode(text)) AS len, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents),
 bb1 AS (SELECT doc_id, source, lang, len, unnest(l) AS h, generate_subscripts(l, 1) - 1 AS i FROM bb0 WHERE len > 0),
 bb AS (SELECT doc_id, source, lang, CAST(len AS BIGINT) AS len, CAST(i AS BIGINT) AS i, h, {_VALUE} AS x FROM bb1)""",
 }
-_GRAMS = """g AS (SELECT *, lag(h, 1) OVER w AS p1, lag(h, 2) OVER w AS p2, lag(h, 3) OVER w AS p3
-  FROM bb WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
+_GRAMS = {
+    "spark": f"""g AS (SELECT doc_id, source, lang, len, CAST(i0 AS BIGINT) AS i, h, {_VALUE} AS x, get(l, i0 - 1) AS p1, get(l, i0 - 2) AS p2, get(l, i0 - 3) AS p3 FROM bb0)""",
+    "duck": """g AS (SELECT *, lag(h, 1) OVER w AS p1, lag(h, 2) OVER w AS p2, lag(h, 3) OVER w AS p3
+  FROM bb WINDOW w AS (PARTITION BY doc_id ORDER BY i))""",
+}
+#: Poisson(1) by a uniform number u of 0 to 9999: how often a resample takes a row.
+POISSON = "CASE WHEN u < 3679 THEN 0 WHEN u < 7358 THEN 1 WHEN u < 9197 THEN 2 WHEN u < 9810 THEN 3 WHEN u < 9963 THEN 4 WHEN u < 9994 THEN 5 ELSE 6 END"
 _MACROS = {
     "spark": {
         "SHA": r"sha2(\1, 256)",
@@ -66,7 +72,7 @@ _MACROS = {
 
 
 def render(query: str, engine: str) -> str:
-    query = query.replace("@BYTES", _BYTES[engine]).replace("@GRAMS", _BYTES[engine] + ",\n" + _GRAMS)
+    query = query.replace("@BYTES", _BYTES[engine]).replace("@GRAMS", _BYTES[engine] + ",\n" + _GRAMS[engine])
     arg = r"((?:[^{}]|\{[^{}]*\})*?)"
     for _ in range(6):
         for name, text in _MACROS[engine].items():
@@ -81,9 +87,15 @@ def duck_sql(query: str) -> str:
     return render(query, "duck")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read in fewer tasks than there are cores is dealt to all cores; a larger one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def spark_sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     text = render(query, "spark")
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", text)}
+    used = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in TABLES if re.search(rf"\b{t}\b", text)}
     for t in used:
         text = re.sub(rf"\b{t}\b(?!\s*\.)", "{" + t + "}", text)
     return spark.sql(text, **used) if used else spark.sql(text)

@@ -5,6 +5,8 @@ Texts are streams of UTF-8 bytes; a source is a corpus. Positions are explicit,
 
 from __future__ import annotations
 
+from bytelens.functions.dialect import POISSON
+
 _ORDERS = "(SELECT id AS k FROM @IDS{4})"
 _CTX = "CASE k WHEN 0 THEN '' WHEN 1 THEN p1 WHEN 2 THEN p2 || p1 ELSE p3 || p2 || p1 END"
 _LADDER = f"""WITH @GRAMS,
@@ -41,26 +43,24 @@ r AS (SELECT s.source, s.k, s.n, coalesce(c.c, 0) AS c, coalesce(t.t, 0) AS t FR
   LEFT JOIN t ON s.source = t.source AND s.k = t.k AND s.ctx = t.ctx),
 o AS (SELECT source, CAST(k AS BIGINT) AS ord, round(-sum(n * log2((c + 1) / (t + 256.0))) / sum(n), 6) AS ce,
   round(sum(CASE WHEN t > 0 THEN n ELSE 0 END) / sum(n), 6) AS coverage FROM r GROUP BY source, k)"""
-_CMI = """SELECT {key}, round((sum(CASE WHEN s = 'cx' THEN 0.0 ELSE 0.0 END) + max(hch) - max(hc) + max(hcl) - max(hc) - max(hcx) + max(hc))
- - (max(kcx) - max(kch) - max(kcl) + max(kc)) / (2.0 * max(n) * ln(2)), 6) AS cmi"""
 
 
 def _cmi(key: str, source: str) -> str:
-    """I(high; low | context) in bits with the Miller-Madow correction, from (key, c, x)."""
-    parts = ", ".join(
-        f"{n} AS (SELECT {key}, -sum(q * log2(q)) AS e{n}, count(*) AS k{n} FROM (SELECT {key}, {cols}, count(*) * 1.0 / max(n) AS q FROM p GROUP BY {key}, {cols}) z GROUP BY {key})"
-        for n, cols in (("cx", "c, x"), ("ch", "c, hi"), ("cl", "c, lo"), ("c0", "c"))
+    """I(high; low | context) in bits with the Miller-Madow correction, from (key, c, x); everything follows from the counts of cells."""
+    parts = ",\n".join(
+        f"{n} AS (SELECT {key}, sum(m * log2(m)) AS s{n}, count(*) AS k{n} FROM (SELECT {key}, {cols}, sum(m) AS m FROM j GROUP BY {key}, {cols}) z GROUP BY {key})"
+        for n, cols in (("cx", "c, hi, lo"), ("ch", "c, hi"), ("cl", "c, lo"), ("c0", "c"))
     )
     on = " AND ".join(f"{{a}}.{k.strip()} = {{b}}.{k.strip()}" for k in key.split(","))
     join = " ".join(f"JOIN {t} ON {on.format(a='cx', b=t)}" for t in ("ch", "cl", "c0", "nn"))
     cols = ", ".join(f"cx.{k.strip()}" for k in key.split(","))
     return f"""{source},
-p AS (SELECT *, x % 16 AS lo, @DIV{{x|16}} AS hi, count(*) OVER (PARTITION BY {key}) AS n FROM p0),
-{parts}, nn AS (SELECT {key}, count(*) AS n FROM p GROUP BY {key})
-SELECT {cols}, round((ech - ec0) + (ecl - ec0) - (ecx - ec0) - (kcx - kch - kcl + kc0) / (2.0 * n * ln(2)), 6) AS cmi FROM cx {join}"""
+j0 AS (SELECT {key}, c, x, count(*) AS m FROM p0 GROUP BY {key}, c, x), j AS (SELECT *, x % 16 AS lo, @DIV{{x|16}} AS hi FROM j0),
+{parts},
+nn AS (SELECT {key}, sum(m) AS n FROM j GROUP BY {key})
+SELECT {cols}, round((scx + sc0 - sch - scl) / n - (kcx - kch - kcl + kc0) / (2.0 * n * ln(2)), 6) AS cmi FROM cx {join}"""
 
 
-_AD = """c0 AS (SELECT *, count(*) OVER (PARTITION BY doc_id, h ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c0, i AS t0{more} FROM g)"""
 _B2 = """WITH @GRAMS, w AS (SELECT doc_id, len, i,
   count(*) OVER (PARTITION BY doc_id, h ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c0, i AS t0,
   CASE WHEN i >= 1 THEN count(*) OVER (PARTITION BY doc_id, p1, h ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE 0 END AS c1,
@@ -88,9 +88,9 @@ CASE WHEN max(abs(acf)) <= 0.05 THEN 'qualifies' WHEN max(abs(acf)) <= 0.15 THEN
     "q10_best_order": _HOLD + ", r2 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ce, ord) AS rk FROM o) SELECT source, ord, ce FROM r2 WHERE rk = 1",
     "q11_nibble_cmi": _cmi("source", "WITH @GRAMS, p0 AS (SELECT source, p1 AS c, x FROM g WHERE i >= 1)"),
     "q12_cmi_perm_null": _cmi("source", """WITH @GRAMS, r0 AS (SELECT source, p1 AS c, x % 16 AS lo, @DIV{x|16} AS hi,
-  row_number() OVER (PARTITION BY source, p1 ORDER BY doc_id, i) AS r1,
-  row_number() OVER (PARTITION BY source, p1 ORDER BY @SHA{concat('7:', CAST(doc_id AS VARCHAR(20)), ':', CAST(i AS VARCHAR(20)))}) AS r2 FROM g WHERE i >= 1 AND i < 200),
-p0 AS (SELECT a.source, a.c, a.hi * 16 + b.lo AS x FROM r0 a JOIN r0 b ON a.source = b.source AND a.c = b.c AND a.r1 = b.r2)"""),
+  row_number() OVER (PARTITION BY source, p1, @DIV{doc_id|4096} ORDER BY doc_id, i) AS r1,
+  row_number() OVER (PARTITION BY source, p1, @DIV{doc_id|4096} ORDER BY @SHA{concat('7:', CAST(doc_id AS VARCHAR(20)), ':', CAST(i AS VARCHAR(20)))}, doc_id, i) AS r2, @DIV{doc_id|4096} AS part FROM g WHERE i >= 1),
+p0 AS (SELECT a.source, a.c, a.hi * 16 + b.lo AS x FROM r0 a JOIN r0 b ON a.source = b.source AND a.c = b.c AND a.part = b.part AND a.r1 = b.r2)"""),
     "q14_split_half_drift": _cmi("source, half", "WITH @GRAMS, p0 AS (SELECT source, CASE WHEN i < @DIV{len|2} THEN 0 ELSE 1 END AS half, p1 AS c, x FROM g WHERE i >= 1)"),
     "q15_plane_cmi": _cmi("lang, plane", "WITH @GRAMS, p0 AS (SELECT lang, i % 4 AS plane, p1 AS c, x FROM g WHERE i >= 1)"),
     "q23_adaptive_bits_order0": _B2 + " SELECT doc_id, round(sum(b0), 4) AS bits FROM z GROUP BY doc_id",
@@ -128,9 +128,9 @@ SELECT q.doc_id, q.p, count(*) AS blocks, min(k.blk) AS first_block, max(k.blk)
 AND k.blk * 1024 < q.p + 3000 AND k.blk * 1024 + 1024 > q.p GROUP BY q.doc_id, q.p""",
     "q45_decode_window_bound": _BLK + """, q AS (SELECT doc_id, n, @SEED{concat('read:', CAST(doc_id AS VARCHAR(20)))} % n AS p FROM d WHERE n > 0)
 SELECT doc_id, p % 1024 AS warm_up, least(n, p + 500) - (p - p % 1024) AS decoded, p % 1024 <= 1023 AND least(n, p + 500) - (p - p % 1024) <= 1524 AS within FROM q""",
-    "q13_cmi_chunk_boot": """WITH @GRAMS, k AS (SELECT doc_id, @DIV{i|2048} AS chunk, p1 AS c, substr(h, 1, 1) AS a, substr(h, 2, 1) AS b, count(*) AS n FROM g WHERE i >= 1 GROUP BY doc_id, @DIV{i|2048}, p1, substr(h, 1, 1), substr(h, 2, 1)),
-u AS (SELECT r.id AS r, k.*, @SEED{concat('cmi:', CAST(r.id AS VARCHAR(20)), ':', CAST(doc_id AS VARCHAR(20)), ':', CAST(chunk AS VARCHAR(20)))} % 10000 AS u FROM k CROSS JOIN @IDS{4} r),
-w AS (SELECT r, c, a, b, sum(n * CASE WHEN u < 3679 THEN 0 WHEN u < 7358 THEN 1 WHEN u < 9197 THEN 2 WHEN u < 9810 THEN 3 WHEN u < 9963 THEN 4 WHEN u < 9994 THEN 5 ELSE 6 END) AS n FROM u GROUP BY r, c, a, b),
+    "q13_cmi_chunk_boot": f"""WITH @GRAMS, k AS (SELECT doc_id, @DIV{{i|2048}} AS chunk, p1 AS c, substr(h, 1, 1) AS a, substr(h, 2, 1) AS b, count(*) AS n FROM g WHERE i >= 1 GROUP BY doc_id, @DIV{{i|2048}}, p1, substr(h, 1, 1), substr(h, 2, 1)),
+u AS (SELECT r.id AS r, k.*, @SEED{{concat('cmi:', CAST(r.id AS VARCHAR(20)), ':', CAST(doc_id AS VARCHAR(20)), ':', CAST(chunk AS VARCHAR(20)))}} % 10000 AS u FROM k CROSS JOIN @IDS{{4}} r),
+w AS (SELECT r, c, a, b, sum(n * {POISSON}) AS n FROM u GROUP BY r, c, a, b),
 t AS (SELECT *, sum(n) OVER (PARTITION BY r, c) AS nc, sum(n) OVER (PARTITION BY r, c, a) AS na, sum(n) OVER (PARTITION BY r, c, b) AS nb FROM w WHERE n > 0)
 SELECT CAST(r AS BIGINT) AS resample, round(sum(n * (log2(n) + log2(nc) - log2(na) - log2(nb))) / sum(n), 6) AS cmi, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY r""",
     "q46_phrase_candidates": """WITH d AS (SELECT item_id, hex(@UTF{text}) AS hx, octet_length(@UTF{text}) AS n FROM benchmark),
@@ -147,9 +147,4 @@ SELECT doc_id, @DIV{least(n - 1, p + 99)|1024} - @DIV{p|1024} + 1 AS replaced, @
 c AS (SELECT source, CASE @POP{@XOR{x|y}} WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS class, count(*) AS c FROM w WHERE y IS NOT NULL GROUP BY 1, 2),
 t AS (SELECT *, sum(c) OVER (PARTITION BY source) AS n FROM c)
 SELECT source, round(-sum(c / n * log2(c / n)), 6) AS class_bits, round(sum(c / n * CASE class WHEN 0 THEN 0 WHEN 1 THEN 4 WHEN 2 THEN 7 ELSE 12 END), 6) AS payload_bits FROM t GROUP BY source""",
-    "q102_cooccurrence_edges": """WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+'@ZERO) AS w FROM benchmark),
-e AS (SELECT item_id, w, @EACH{1|CAST(@SIZE AS BIGINT) - 1} AS i FROM b WHERE @SIZE >= 2),
-p AS (SELECT @AT{i} AS u, @AT{i + 1} AS v FROM e)
-SELECT least(u, v) AS a, greatest(u, v) AS b, count(*) AS n FROM p WHERE u <> v GROUP BY 1, 2 HAVING count(*) >= 2""",
 }
-del SQL["q102_cooccurrence_edges"]

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytelens.functions.dialect import spread
 from bytelens.operators import codec, enumerative, mixing, phrases, resample, twopass
 from bytelens.sources.corpora import blocks
 from bytelens.streaming import blocks as streams
@@ -14,7 +15,7 @@ BLOCK = 128
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet").repartition(8), "item_id", "text", BLOCK)
+    return blocks(spread(spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "item_id", "text", BLOCK)
 
 
 def q70_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def q74b_cm_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frozen(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.lit("benchmark").alias("corpus"), "text").repartition(8)
+    items = spread(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.lit("benchmark").alias("corpus"), "text"))
     kept = twopass.prune(twopass.gram_counts(items, width), width)
     return twopass.pack_frozen(_blocks(spark, sf_dir).withColumn("corpus", F.lit("benchmark")), kept, width)
 
@@ -116,7 +117,7 @@ def q76_dictionary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet").repartition(8), "item_id", "text", 1024)
+    return blocks(spread(spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "item_id", "text", 1024)
 
 
 def q77_parse_saving(spark: SparkSession, sf_dir: str) -> DataFrame:

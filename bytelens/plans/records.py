@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bytelens.functions.dialect import POISSON
+
 _L = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag AS f0, l_linestatus AS f1, CAST(l_linenumber AS VARCHAR(20)) AS f2, CAST(CAST(round(l_discount * 100) AS INT) AS VARCHAR(20)) AS f3 FROM lineitem"
 
 
@@ -10,12 +12,14 @@ def _h(cols: str, table: str = "r") -> str:
 
 
 def _boot(n: int, stat: str, tag: str) -> str:
-    return f"""WITH x AS (SELECT l_extendedprice AS v, l_quantity AS u, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS k FROM lineitem WHERE l_orderkey <= 64),
-m AS (SELECT count(*) AS n FROM x),
-d AS (SELECT b.id AS b, i.id AS i, @SEED{{concat('{tag}:', CAST(b.id AS VARCHAR(20)), ':', CAST(i.id AS VARCHAR(20)))}} % m.n AS k FROM @IDS{{{n}}} b CROSS JOIN m CROSS JOIN @IDS{{1000}} i WHERE i.id < m.n),
-s AS (SELECT d.b, {stat} AS s FROM d JOIN x ON d.k = x.k GROUP BY d.b)"""
+    """``n`` resamples of whole orders, each taken as often as a Poisson(1) draw says; ``stat`` over w, v (cents), q and n."""
+    return f"""WITH x AS (SELECT l_orderkey, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS v, CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS BIGINT) AS q, count(*) AS n FROM lineitem GROUP BY l_orderkey),
+u AS (SELECT b.id AS b, x.*, @SEED{{concat('{tag}:', CAST(b.id AS VARCHAR(20)), ':', CAST(l_orderkey AS VARCHAR(20)))}} % 10000 AS u FROM x CROSS JOIN @IDS{{{n}}} b),
+w AS (SELECT b, v, q, n, {POISSON} AS w FROM u),
+s AS (SELECT b, {stat} AS s FROM w GROUP BY b)"""
 
 
+_MEAN = "CAST(sum(w * v) AS DOUBLE) / (100 * sum(w * n))"
 _RUNS = """r AS (SELECT o_orderkey AS run_idx, o_orderpriority AS ctype, o_orderstatus AS coder, o_totalprice AS enc_s, o_custkey,
   CASE o_orderkey % 10 WHEN 0 THEN 'censored' WHEN 1 THEN 'failed' ELSE 'done' END AS status, o_orderkey % 7 <> 3 AS roundtrip_ok FROM orders)"""
 _COST = """t AS (SELECT doc_id, source, CAST(octet_length(@UTF{text}) AS BIGINT) AS n, text FROM documents WHERE octet_length(@UTF{text}) > 0),
@@ -29,18 +33,20 @@ SQL = {
 SELECT round(-sum(c / n * log2(c / n)), 6) AS plug, round(-sum(c / n * log2(c / n)) + (count(*) - 1) / (2.0 * max(n) * ln(2)), 6) AS mm FROM t""",
     "q17_entropy_grassberger": """WITH j AS (SELECT event_type, user_id, count(*) AS c FROM events GROUP BY event_type, user_id),
 g AS (SELECT id + 1 AS m, -0.5772156649015329 - ln(2) + sum(CASE WHEN (id + 1) % 2 = 0 THEN 2.0 / id ELSE 0.0 END) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS gm FROM @IDS{20000}),
-s AS (SELECT sum(c) AS n FROM j)
-SELECT round((ln(max(s.n)) - sum(c * gm) / max(s.n)) / ln(2), 6) AS h FROM j JOIN g ON j.c = g.m CROSS JOIN s""",
+s AS (SELECT sum(c) AS n FROM j),
+k AS (SELECT c, coalesce(gm, ln(@DIV{c|2}) + ln(2) + 1.0 / (24.0 * @DIV{c|2} * @DIV{c|2})) AS gm FROM j LEFT JOIN g ON j.c = g.m)
+SELECT round((ln(max(s.n)) - sum(c * gm) / max(s.n)) / ln(2), 6) AS h FROM k CROSS JOIN s""",
     "q18_total_correlation": f"WITH r AS ({_L}) SELECT round({_h('f0')} + {_h('f1')} + {_h('f2')} + {_h('f3')} - {_h('f0, f1, f2, f3')}, 6) AS tc_bits",
     "q19_chain_mi": f"""WITH r AS ({_L}), e AS (SELECT 1 AS f, 0 AS p, {_h('f0')} + {_h('f1')} - {_h('f0, f1')} AS mi UNION ALL SELECT 2, 1, {_h('f1')} + {_h('f2')} - {_h('f1, f2')}
 UNION ALL SELECT 2, 0, {_h('f0')} + {_h('f2')} - {_h('f0, f2')} UNION ALL SELECT 3, 2, {_h('f2')} + {_h('f3')} - {_h('f2, f3')} UNION ALL SELECT 3, 1, {_h('f1')} + {_h('f3')} - {_h('f1, f3')}),
 k AS (SELECT f, p, round(mi, 6) AS mi, row_number() OVER (PARTITION BY f ORDER BY round(mi, 9) DESC, p DESC) AS rk FROM e) SELECT CAST(f AS BIGINT) AS field, CAST(p AS BIGINT) AS parent, mi FROM k WHERE rk = 1""",
     "q20_tc_prefix": f"WITH r AS ({_L}) SELECT CAST(2 AS BIGINT) AS fields, round({_h('f0')} + {_h('f1')} - {_h('f0, f1')}, 6) AS tc UNION ALL SELECT 3, round({_h('f0')} + {_h('f1')} + {_h('f2')} - {_h('f0, f1, f2')}, 6) UNION ALL SELECT 4, round({_h('f0')} + {_h('f1')} + {_h('f2')} + {_h('f3')} - {_h('f0, f1, f2, f3')}, 6)",
-    "q21_tc_permuted_control": f"""WITH b AS ({_L}), a AS (SELECT f0, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, f1, row_number() OVER (ORDER BY @SHA{{concat('1:', CAST(l_orderkey AS VARCHAR(20)), ':', CAST(l_linenumber AS VARCHAR(20)))}}, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k1 FROM b),
-r AS (SELECT a.f0, z.f1 FROM a JOIN a z ON a.k = z.k1) SELECT round({_h('f0')} + {_h('f1')} - {_h('f0, f1')}, 6) AS tc""",
+    "q21_tc_permuted_control": f"""WITH b AS ({_L}), a AS (SELECT f0, @DIV{{l_orderkey|4096}} AS blk, row_number() OVER (PARTITION BY @DIV{{l_orderkey|4096}} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, f1, row_number() OVER (PARTITION BY @DIV{{l_orderkey|4096}} ORDER BY @SHA{{concat('1:', CAST(l_orderkey AS VARCHAR(20)), ':', CAST(l_linenumber AS VARCHAR(20)))}}, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k1 FROM b),
+r AS (SELECT a.f0, z.f1 FROM a JOIN a z ON a.blk = z.blk AND a.k = z.k1) SELECT round({_h('f0')} + {_h('f1')} - {_h('f0, f1')}, 6) AS tc""",
     "q22_calib_dup_anchor": f"WITH r AS (SELECT id % 16 AS a, id % 16 AS d, @DIV{{id|16}} % 16 AS u, @DIV{{id|256}} % 16 AS v FROM @IDS{{65536}}) SELECT round(({_h('a')} + {_h('d')} + {_h('u')} + {_h('v')} - {_h('a, d, u, v')}) / 4, 6) AS tc_bpb",
-    "q27_joint_vs_factorized_gap": f"""WITH b AS ({_L}), w AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i FROM b WHERE l_orderkey <= 4000),
-c AS (SELECT i, count(*) OVER (PARTITION BY f0, f1 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS j, count(*) OVER (PARTITION BY f0 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, count(*) OVER (PARTITION BY f1 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM w)
+    "q27_joint_vs_factorized_gap": f"""WITH b AS (SELECT *, @DIV{{l_orderkey|4096}} AS blk FROM ({_L}) l),
+w AS (SELECT *, row_number() OVER (PARTITION BY blk ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i FROM b),
+c AS (SELECT i, count(*) OVER (PARTITION BY blk, f0, f1 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS j, count(*) OVER (PARTITION BY blk, f0 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, count(*) OVER (PARTITION BY blk, f1 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM w)
 SELECT round(sum(log2(i + 6) - log2(j + 1)), 3) AS joint_bits, round(sum(log2(i + 3) - log2(a + 1) + log2(i + 2) - log2(b + 1)), 3) AS factorized_bits FROM c""",
     "q28_addone_token_bits": """WITH w AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM events)
 SELECT user_id, round(sum(log2(i + 8) - log2(c + 1)), 4) AS bits FROM w GROUP BY user_id""",
@@ -48,22 +54,25 @@ SELECT user_id, round(sum(log2(i + 8) - log2(c + 1)), 4) AS bits FROM w GROUP BY
 f AS (SELECT @DIV{k|2} AS family, sum(c) AS c FROM r GROUP BY @DIV{k|2}), n AS (SELECT sum(c) AS n FROM j)
 SELECT (SELECT round(-sum(c / n.n * log2(c / n.n)), 6) FROM j CROSS JOIN n) AS flat, round((SELECT -sum(c / n.n * log2(c / n.n)) FROM f CROSS JOIN n) + (SELECT sum(-(r.c / n.n) * log2(r.c / f.c)) FROM r JOIN f ON @DIV{r.k|2} = f.family CROSS JOIN n), 6) AS two_level""",
     "q47_seed_table": "SELECT id, @SEED{concat('20260710:boot:x:', CAST(id AS VARCHAR(20)))} AS seed FROM @IDS{100}",
-    "q48_boot_percentile_mean": _boot(200, "avg(x.v)", "boot") + " SELECT round(@PCT{s|0.025}, 4) AS lo, round(@PCT{s|0.975}, 4) AS hi, round(avg(s), 4) AS mid FROM s",
+    "q48_boot_percentile_mean": _boot(200, _MEAN, "boot") + " SELECT round(@PCT{s|0.025}, 4) AS lo, round(@PCT{s|0.975}, 4) AS hi, round(avg(s), 4) AS mid FROM s",
     "q49_paired_diff_cohen_d": "WITH p AS (SELECT a.l_orderkey, a.l_extendedprice - b.l_extendedprice AS d FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2) SELECT count(*) AS n, round(avg(d), 4) AS diff, round(CASE WHEN stddev_samp(d) = 0 THEN 0 ELSE avg(d) / stddev_samp(d) END, 6) AS cohen_d FROM p",
-    "q50_boot_p": _boot(200, "avg(x.v - 36000)", "p") + " SELECT round(least(CAST(1 AS DOUBLE), 2 * least((sum(CASE WHEN s <= 0 THEN 1 ELSE 0 END) + 1) / CAST(201 AS DOUBLE), (sum(CASE WHEN s >= 0 THEN 1 ELSE 0 END) + 1) / CAST(201 AS DOUBLE))), 6) AS p FROM s",
-    "q51_holm": """WITH p AS (SELECT p_partkey AS idx, (@SEED{concat('holm:', CAST(p_partkey AS VARCHAR(20)))} % 10000) / 1000000.0 AS p FROM part WHERE p_partkey <= 40), r AS (SELECT *, row_number() OVER (ORDER BY p, idx) AS rk, count(*) OVER () AS m FROM p)
-SELECT idx, CAST(round(p, 6) AS DOUBLE) AS p, min(CASE WHEN p <= 0.05 / (m - rk + 1) THEN 1 ELSE 0 END) OVER (ORDER BY rk ROWS UNBOUNDED PRECEDING) = 1 AS rejected FROM r""",
+    "q50_boot_p": _boot(200, _MEAN + " - 36000", "p") + " SELECT round(least(CAST(1 AS DOUBLE), 2 * least((sum(CASE WHEN s <= 0 THEN 1 ELSE 0 END) + 1) / CAST(201 AS DOUBLE), (sum(CASE WHEN s >= 0 THEN 1 ELSE 0 END) + 1) / CAST(201 AS DOUBLE))), 6) AS p FROM s",
+    "q51_holm": """WITH p AS (SELECT p_partkey AS idx, p_brand AS family, @SEED{concat('holm:', CAST(p_partkey AS VARCHAR(20)))} % 10000 AS millionths FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY millionths, idx) AS rk, count(*) OVER (PARTITION BY family) AS m FROM p)
+SELECT idx, family, CAST(millionths AS DOUBLE) / 1000000 AS p, min(CASE WHEN millionths * (m - rk + 1) <= 50000 THEN 1 ELSE 0 END) OVER (PARTITION BY family ORDER BY rk ROWS UNBOUNDED PRECEDING) = 1 AS rejected FROM r""",
     "q52_jackknife": "WITH x AS (SELECT o_orderkey, o_totalprice AS v FROM orders), t AS (SELECT sum(v) AS s, count(*) AS n FROM x) SELECT o_orderkey, round((s - v) / (n - 1), 2) AS loo_mean FROM x CROSS JOIN t",
-    "q53_ratio_boot": _boot(200, "sum(x.v) / sum(x.u)", "ratio") + " SELECT round(@PCT{s|0.025}, 4) AS lo, round(@PCT{s|0.975}, 4) AS hi FROM s",
-    "q54_supersede_anti": "WITH s AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 = 0) SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.k = orders.o_orderkey + 1)".replace("orders.o_orderkey + 1", "o_orderkey + 1"),
+    "q53_ratio_boot": _boot(200, "CAST(sum(w * v) AS DOUBLE) / (100 * sum(w * q))", "ratio") + " SELECT round(@PCT{s|0.025}, 4) AS lo, round(@PCT{s|0.975}, 4) AS hi FROM s",
+    "q54_supersede_anti": "WITH s AS (SELECT o_orderkey - 1 AS k FROM orders WHERE o_orderstatus = 'P') SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.k = o_orderkey)",
     "q55_resume_anti": "WITH c AS (SELECT n_nationkey AS a, id AS b FROM nation CROSS JOIN @IDS{5}), d AS (SELECT DISTINCT c_nationkey AS a, c_custkey % 7 AS b FROM customer) SELECT CAST(c.a AS BIGINT) AS a, CAST(c.b AS BIGINT) AS b FROM c LEFT JOIN d ON c.a = d.a AND c.b = d.b WHERE d.a IS NULL",
     "q56_plan_cells_cross": "SELECT r_name, n_name, CAST(id AS BIGINT) AS run_idx FROM region CROSS JOIN nation CROSS JOIN @IDS{3}",
     "q57_group_summary": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_extendedprice), 4) AS mean_price, max(l_quantity) AS max_qty, CASE WHEN count(*) < 3 THEN '--' WHEN min(l_tax) = max(l_tax) THEN 'degenerate' ELSE 'ok' END AS ci_kind FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "q58_campaign_aggregate": f"WITH {_RUNS} SELECT ctype, coder, count(*) AS n_runs, round(avg(CASE WHEN status = 'done' THEN enc_s END), 3) AS enc_s, CAST(sum(CASE WHEN status = 'censored' THEN 1 ELSE 0 END) AS BIGINT) AS n_censored, CAST(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS n_failed, min(CASE WHEN roundtrip_ok THEN 1 ELSE 0 END) = 1 AS all_ok FROM r GROUP BY ctype, coder",
-    "q59_pareto_front": "WITH p AS (SELECT p_partkey AS k, p_size AS thr, round(p_retailprice, 0) AS bpb FROM part) SELECT k, thr, bpb FROM (SELECT *, min(bpb) OVER (ORDER BY thr DESC, bpb, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p) z WHERE b IS NULL OR bpb < b",
+    "q59_pareto_front": """WITH p AS (SELECT p_partkey AS k, p_size AS thr, round(p_retailprice, 0) AS bpb FROM part), g AS (SELECT thr, min(bpb) AS bpb FROM p GROUP BY thr),
+f AS (SELECT thr, bpb FROM (SELECT *, min(bpb) OVER (ORDER BY thr DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM g) z WHERE b IS NULL OR bpb < b)
+SELECT min(p.k) AS k, p.thr, p.bpb FROM p JOIN f ON p.thr = f.thr AND p.bpb = f.bpb GROUP BY p.thr, p.bpb""",
     "q60_median_p95": "WITH x AS (SELECT o_orderpriority AS g, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT g, round(@PCT{v|0.5}, 4) AS median, round(max(CASE WHEN k = least(n - 1, floor(0.95 * n)) THEN v END), 4) AS p95 FROM x GROUP BY g",
     "q61_determinism_witness": "SELECT l_suppkey, max(l_orderkey) AS max_run, count(DISTINCT l_returnflag) AS shas, count(DISTINCT l_returnflag) <= 1 AS deterministic FROM lineitem GROUP BY l_suppkey",
-    "q62_leg_compare": "WITH a AS (SELECT c_custkey AS k, c_nationkey AS v FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT s_suppkey AS k, s_nationkey AS v FROM supplier) SELECT count(*) AS rows_seen, CAST(sum(CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS matched, CAST(sum(CASE WHEN a.v = b.v THEN 1 ELSE 0 END) AS BIGINT) AS equal FROM a FULL OUTER JOIN b ON a.k = b.k",
+    "q62_leg_compare": "WITH a AS (SELECT c_custkey AS k, c_nationkey AS v FROM customer), b AS (SELECT s_suppkey AS k, s_nationkey AS v FROM supplier) SELECT count(*) AS rows_seen, CAST(sum(CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS matched, CAST(sum(CASE WHEN a.v = b.v THEN 1 ELSE 0 END) AS BIGINT) AS equal FROM a FULL OUTER JOIN b ON a.k = b.k",
     "q63_verdict_engine": "WITH m AS (SELECT n_nationkey, n_name, avg(c_acctbal) / 10000 AS spread FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name) SELECT n_name, CASE WHEN spread <= 0.40 THEN 'fails' WHEN spread <= 0.45 THEN 'marginal' ELSE 'qualifies' END AS verdict, concat('spread ', CAST(CAST(round(spread * 1000) AS BIGINT) AS VARCHAR(20))) AS reason FROM m",
     "q64_manifest_patch_sets": "WITH q AS (SELECT c_nationkey AS k, c_mktsegment AS s, avg(c_acctbal) > 4500 AS ok FROM customer GROUP BY c_nationkey, c_mktsegment), p AS (SELECT DISTINCT s_nationkey AS k, 'BUILDING' AS s FROM supplier) SELECT q.k, @SORTED{CASE WHEN ok AND p.k IS NULL THEN q.s END} AS added, @SORTED{CASE WHEN NOT ok AND p.k IS NOT NULL THEN q.s END} AS removed FROM q LEFT JOIN p ON q.k = p.k AND q.s = p.s GROUP BY q.k",
     "q65_mode_costs": f"WITH {_COST} SELECT source, CAST(mode AS BIGINT) AS mode, CAST(sum(bits) AS BIGINT) AS bits FROM c GROUP BY source, mode",
@@ -76,7 +85,8 @@ SELECT idx, CAST(round(p, 6) AS DOUBLE) AS p, min(CASE WHEN p <= 0.05 / (m - rk
     "q79_gumbel_norming": "SELECT CAST(id AS BIGINT) AS m, round(sqrt(2 * ln(id)), 6) AS a, round(sqrt(2 * ln(id)) - (ln(ln(id)) + ln(4 * pi())) / (2 * sqrt(2 * ln(id))), 6) AS b FROM @IDS{1025} WHERE id >= 3",
     "q81_small_n_block_law": "SELECT @POP{@XOR{id|@DIV{id|2}} % 2048} AS switches, count(*) AS vectors, round(sum(power(2, -1 + @POP{@XOR{id|@DIV{id|2}} % 2048} * log2(0.2) + (11 - @POP{@XOR{id|@DIV{id|2}} % 2048}) * log2(0.8))), 9) AS p FROM @IDS{4096} GROUP BY 1",
     "q82_affine_fit": "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem",
-    "q83_ks_distance": "WITH x AS (SELECT l_quantity / 50.0 AS v, row_number() OVER (ORDER BY l_quantity) AS i, count(*) OVER () AS n FROM lineitem) SELECT round(max(greatest(abs(i * 1.0 / n - v), abs((i - 1) * 1.0 / n - v))), 6) AS ks FROM x",
+    "q83_ks_distance": """WITH g AS (SELECT l_quantity / 50.0 AS v, count(*) AS c FROM lineitem GROUP BY l_quantity), x AS (SELECT v, c, sum(c) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS i, sum(c) OVER () AS n FROM g)
+SELECT round(max(greatest(abs(CAST(i AS DOUBLE) / n - v), abs(CAST(i - c AS DOUBLE) / n - v))), 6) AS ks FROM x""",
     "q84_weighted_quantile": "WITH x AS (SELECT p_size AS v, sum(p_retailprice) AS w FROM part GROUP BY p_size), c AS (SELECT v, sum(w) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS cw, sum(w) OVER () AS t FROM x) SELECT CAST(min(v) AS BIGINT) AS q90 FROM c WHERE cw >= 0.9 * t",
     "q85_mc_block_max": "WITH u AS (SELECT id, @DIV{id|50} AS blk, @SEED{concat('mc:', CAST(id AS VARCHAR(20)))} % 16 AS s FROM @IDS{20000}), b AS (SELECT blk, sum(s) AS s FROM u GROUP BY blk) SELECT CAST(@DIV{blk|20} AS BIGINT) AS path, CAST(max(s) AS BIGINT) AS most FROM b GROUP BY @DIV{blk|20}",
     "q86_draw_up": "WITH u AS (SELECT @DIV{id|1000} AS path, id, @SEED{concat('up:', CAST(id AS VARCHAR(20)))} % 17 - 8 AS d FROM @IDS{20000}), s AS (SELECT path, id, sum(d) OVER (PARTITION BY path ORDER BY id ROWS UNBOUNDED PRECEDING) AS s FROM u), m AS (SELECT path, s - least(0, min(s) OVER (PARTITION BY path ORDER BY id ROWS UNBOUNDED PRECEDING)) AS up FROM s) SELECT CAST(path AS BIGINT) AS path, CAST(max(up) AS BIGINT) AS draw_up FROM m GROUP BY path",
