@@ -13,6 +13,7 @@ import xxhash
 
 import corpus_pipeline
 from bytelens.llm import licenses, registry
+from bytelens.llm import simhash as simhash_module
 from bytelens.llm.html import grow, main_text, LABELLED
 from bytelens.llm.mixing import targets
 from bytelens.llm.simhash import bit_sliced_links
@@ -133,7 +134,7 @@ def test_simhash(spark, here):
     same(got(spark, here, "op2_simhash_components"), [(row[0], f"{f:016x}", least.get(r)) for row, f, r in zip(ROWS, fp, root)], ("doc_id", "fingerprint", "component_id"))
 
 
-@pytest.mark.parametrize("radius", [0, 3, 4, 6])
+@pytest.mark.parametrize("radius", [0, 3, 4, 6, 7])
 def test_bit_sliced(radius):
     rng = np.random.default_rng(radius)
     f = rng.integers(0, 2**63, 300, dtype=np.uint64)
@@ -263,6 +264,28 @@ def test_shards(spark, here):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(count[s]))
 
 
+def test_pipeline_groups_by_five_words_and_seven_bits(spark):
+    rng = np.random.default_rng(9)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 900, 300)) for _ in range(12)]
+    texts = []
+    for b in base:
+        for k in range(4):
+            w = b.split()
+            for at in rng.integers(0, 300, 2 * k):
+                w[at] = "other"
+            texts.append(" ".join(w))
+    fp = [int(x) for x in simhash_module.fingerprints(texts, 5)]
+    root = list(range(len(fp)))
+    for _ in fp:
+        for i in range(len(fp)):
+            for j in range(len(fp)):
+                if (fp[i] ^ fp[j]).bit_count() <= 7:
+                    root[i] = min(root[i], root[j])
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept) == sorted(set(root)) and len(kept) < 24
+
+
 def test_pipeline(spark, here, empty):
     docs = spark.read.parquet(f"{here}/documents.parquet")
     kept = [None]
