@@ -26,6 +26,8 @@ BUCKETS = 1 << BITS
 STRETCH = 1 << 12
 MAX_LANGS = 256
 SMOOTH = 0.5
+#: Bytes of text worked on at once (one text at least): n-grams take some 200 times that.
+PIECE = 500_000
 
 _LETTER: list[np.ndarray] = []
 
@@ -71,7 +73,7 @@ def _count(batches):
     tables: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
     for batch in batches:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", PIECE):
             langs = np.asarray(part.column("lang").to_pylist(), object)
             texts = part.column("text").to_pylist()
             for lang in sorted(set(langs)):
@@ -128,7 +130,7 @@ def predict(docs: DataFrame, model, keep: list[str]) -> DataFrame:
     def label(batches):
         langs, prior, matrix = shared.value
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 got, off, has = grams(part.column("text").to_pylist())
                 n = part.num_rows
                 total = np.tile(prior, (n, 1))
