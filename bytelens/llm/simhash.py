@@ -30,7 +30,8 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 HOT = 2048
-BUCKET = 64
+#: Fingerprints a bucket holds on average at most; fewer choices of blocks, and rows to shuffle, as it grows.
+BUCKET = 1024
 _ALL = U(2**64 - 1)
 
 
