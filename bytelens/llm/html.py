@@ -2,7 +2,7 @@
 
 A page is cut into flat blocks at block-level tags. Each block gets its number of words, its link
 density, both figures of its neighbours, and where it stands (inside an article, inside a container that tags,
-roles or class names mark as boilerplate). A decision tree grown on the small labelled table below classifies blocks;
+roles or class names mark as boilerplate, on a page that has most of its other text in articles). A decision tree grown on the small labelled table below classifies blocks;
 the blocks it keeps are joined in page order.
 
 Defined cases: null or empty html gives an empty text; unclosed and wrongly nested tags are closed by their
@@ -36,6 +36,9 @@ BOILER_WORDS = set(
     "footer masthead topbar toolbar share sharing social related recommended comment comments reply replies respond disqus widget "
     "form search pagination pager copyright disclaimer contentinfo complementary alert".split()
 )
+#: Classes of an article that is a comment or a teaser; not those that say whether it has comments.
+ARTICLE_WORDS = set("comment comments reply replies respond teaser teasers related recommended promo sponsored advert advertisement ad ads".split())
+ARTICLE_STATES = re.compile(r"^(?:has|no|with|without|allow)\b|\b(?:open|closed|count|enabled|disabled|on|off)$")
 HINT = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 
@@ -61,10 +64,22 @@ SHAPES = (
     (9, 1.0, 3, 0.0, 2, 1.0, 0),
     (1, 0.0, 1, 1.0, 3, 0.0, 0),
 )
-#: Where a block can stand: in an article, in boilerplate, article on the page; then its label (None: its shape's).
-STANDS = ((1, 0, 1, 1), (1, 1, 1, 0), (0, 1, 1, 0), (0, 0, 1, 0), (0, 1, 0, 0), (0, 0, 0, None))
+#: Where a block can stand: in an article, in boilerplate, most text of the page in articles.
+STANDS = ((1, 0, 1), (1, 0, 0), (1, 1, 1), (1, 1, 0), (0, 1, 1), (0, 0, 1), (0, 1, 0), (0, 0, 0))
+
+
+def _label(shape, article: int, boiler: int, has_article: int) -> int:
+    """In an article that is the page's text short blocks count too, but not links; beside it only long text does."""
+    words, links, label = shape[0], shape[1], shape[6]
+    if boiler:
+        return 0
+    if not has_article:
+        return label
+    return int(links < 0.5) if article else int(label and words >= 25)
+
+
 #: The labelled table: every shape in every place.
-LABELLED = tuple((*shape[:6], *place[:3], shape[6] if place[3] is None else place[3]) for place in STANDS for shape in SHAPES)
+LABELLED = tuple((*shape[:6], *place, _label(shape, *place)) for place in STANDS for shape in SHAPES)
 
 
 def grow(rows: np.ndarray, depth: int = 6):
@@ -97,10 +112,14 @@ def classify(tree, block) -> int:
 def _marked(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in BOILER_TAGS or (tag == "header" and not in_article):
         return True
-    if not attributes or tag in ("article", "main", "body", "html"):
+    if not attributes or tag in ("main", "body", "html"):
         return False
     for m in HINT.finditer(attributes):
-        if BOILER_WORDS.intersection(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())):
+        if tag == "article":
+            names = [re.sub(r"[^a-z0-9]+", " ", n).strip() for n in (m[1] or m[2] or m[3] or "").lower().split()]
+            if any(ARTICLE_WORDS.intersection(n.split()) and not ARTICLE_STATES.search(n) for n in names):
+                return True
+        elif BOILER_WORDS.intersection(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())):
             return True
     return bool(HIDDEN.search(attributes))
 
@@ -179,7 +198,7 @@ def blocks(page: str | None) -> list[tuple[str, int, float, int, int]]:
 
 def main_text(page: str | None, tree) -> str:
     found = blocks(page)
-    has = int(any(b[3] for b in found))
+    has = int(2 * sum(b[1] for b in found if b[3] and not b[4]) > sum(b[1] for b in found if not b[4]))
     none = ("", 0, 0.0, 0, 0)
     kept = []
     for i, (text, n, links, article, boiler) in enumerate(found):
