@@ -2,7 +2,7 @@
 
 Each source's documents are put in a seeded random order and their words cut into equal blocks.
 Slot k of the schedule draws the point frac(k * golden ratio) (a Weyl sequence in 64-bit integers)
-and the point's place among the cumulative target weights names the source; the slot's rank among
+and the point's place among the cumulative target weights, in blocks of each source's own size, names the source; the slot's rank among
 its source's slots names the block, wrapping into a second pass when a target exceeds the source.
 Slots are ranked by counts per run of slots plus a rank inside the run, and positions of documents in
 their source by bucketed prefix sums, so neither a hot source nor the schedule meets in one task.
@@ -44,6 +44,12 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float =
     return out
 
 
+def block_sizes(sizes: list[int]) -> list[int]:
+    """Words of a block of each source: a share of the source's own size, so that small sources meet their targets beside large ones."""
+    most = max(1024, MAX_SLOTS // (2 * max(1, len(sizes))))
+    return [max(1, -(-s // most)) for s in sizes]
+
+
 def schedule(spark: SparkSession, sources: list[str], shares: list[float], n_slots: int) -> DataFrame:
     """(source, rank, slot): slot k's source, and how many slots before k the source has."""
     total = float(sum(shares))
@@ -111,15 +117,15 @@ def mix(docs: DataFrame, seed: int = 42, weights=WEIGHTS, share: float = SHARE,
     names, sizes = [r["_src"] for r in found], [int(r["n"]) for r in found]
     rows, total = sum(r["rows"] for r in found), sum(sizes)
     want = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share * total) if names else []
-    # at most about MAX_SLOTS slots at any size; finer than the smallest source while that allows it
-    block = max(1, -(-total // MAX_SLOTS), min(1024, min((s for s in sizes if s), default=1) // 64))
-    slots = int(round(sum(want) / block)) if total else 0
+    sized = block_sizes(sizes)
+    per_source = [t / b for t, b in zip(want, sized)]
+    slots = int(round(sum(per_source))) if total else 0
     goal = spark.createDataFrame(
-        [(n, s, float(t)) for n, s, t in zip(names, sizes, want)], "_src string, source_size long, target double"
+        [(n, s, float(t), b) for n, s, t, b in zip(names, sizes, want, sized)], "_src string, source_size long, target double, _block long"
     )
-    n_blocks = {n: -(-s // block) for n, s in zip(names, sizes)}
+    n_blocks = {n: -(-s // b) for n, s, b in zip(names, sizes, sized)}
     blocks = spark.createDataFrame([(n, b) for n, b in n_blocks.items() if b], "source string, n_blocks long")
-    plan = schedule(spark, names, want, slots)
+    plan = schedule(spark, names, per_source, slots)
     times = (
         plan.join(F.broadcast(blocks), "source")  # one row a source, MAX_SOURCES at most
         .filter(F.col("rank") < MOST * F.col("n_blocks"))
@@ -144,11 +150,12 @@ def mix(docs: DataFrame, seed: int = 42, weights=WEIGHTS, share: float = SHARE,
         .drop("_s2", "_b2", "_ahead", "_in", "_crc", "_h")
     )
     some = placed.select("_src", "_b", "_rn", "_at", "size").filter("size > 0")
+    some = some.join(F.broadcast(goal.select("_src", "_block")), "_src")  # one row a source, MAX_SOURCES at most
     parts = some.select(
-        "*", F.explode(F.sequence(F.expr(f"_at DIV {block}"), F.expr(f"(_at + size - 1) DIV {block}"))).alias("_k")
+        "*", F.explode(F.sequence(F.expr("_at DIV _block"), F.expr("(_at + size - 1) DIV _block"))).alias("_k")
     ).withColumn(
         "_words",
-        F.least(F.col("_at") + F.col("size"), (F.col("_k") + 1) * block) - F.greatest(F.col("_at"), F.col("_k") * block),
+        F.least(F.col("_at") + F.col("size"), (F.col("_k") + 1) * F.col("_block")) - F.greatest(F.col("_at"), F.col("_k") * F.col("_block")),
     )
     took = (
         parts.join(times, (F.col("_src") == F.col("_s3")) & (F.col("_k") == F.col("_k3")))
