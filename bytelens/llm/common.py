@@ -19,6 +19,9 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Words of the licence and contamination contracts: runs of ASCII digits, letters and all non-ASCII.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Bytes a core of tables that are dealt out before work starts.
+SMALL = 4_000_000
+
 U = np.uint64
 
 
@@ -46,7 +49,11 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder. One of a few small files (``SMALL`` bytes a core at most) is dealt to all cores; others are read as they lie."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL and len(df.inputFiles()) < cores else df
 
 
 def lower_az(text: Column) -> Column:

@@ -25,34 +25,51 @@ BASE = (
     ("cc-by", "cc by", "cc by"),
     ("mit", "mit license", "mit license"),
 )
-#: Labels of our own: label, template, mandatory key phrase.
+#: Labels of our own: label, template (a notice or the opening of a licence's text), mandatory key phrase. Wordings of public licences.
 MORE = (
     ("gpl-3.0", "licensed under the gnu general public license version 3", "general public license version 3"),
     ("gpl-2.0", "licensed under the gnu general public license version 2", "general public license version 2"),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "either version 3 of the license"),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "either version 2 of the license"),
     ("lgpl", "gnu lesser general public license", "lesser general public license"),
     ("agpl", "gnu affero general public license", "affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "except in compliance with the license"),
     ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted"),
+    ("mit-text", "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "merge publish distribute sublicense"),
     ("bsd", "redistribution and use in source and binary forms with or without modification", "source and binary forms"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions of source code must retain"),
     ("mpl-2.0", "mozilla public license version 2 0", "mozilla public license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "a copy of the mpl"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa", "cc by sa"),
     ("cc-by-nd", "licensed under cc by nd", "cc by nd"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    ("cc0", "has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "waiving all of his or her rights"),
     ("isc", "permission to use copy modify and or distribute this software", "copy modify and or distribute"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "to alter it and redistribute it freely"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "software and accompanying documentation covered"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "publish use compile sell or distribute"),
 )
 SHARE = 0.8
+#: What stands between words, of a text in lower case.
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_GAPS = "".join(chr(i) for i in range(128) if not (48 <= i < 58 or 97 <= i < 123))
 
 
 def document_words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_az(F.coalesce(text, F.lit(""))), F.lit(ALNUM_WORD), F.lit(0))
+    """Words by cutting at the gaps, which Java does far faster than collecting matches."""
+    inner = F.btrim(lower_az(F.coalesce(text, F.lit(""))), F.lit(_GAPS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, _GAP))
 
 
 def rarity(docs: DataFrame, text: str = "text") -> dict[str, int]:
     """In how many documents each licence word stands (the vocabulary is the templates' own)."""
     vocabulary = sorted({w for _, _, key in BASE + MORE for w in key.split()})
     known = F.array(*[F.lit(w) for w in vocabulary])
-    found = docs.select(F.explode(F.array_intersect(document_words(F.col(text)), known)).alias("w"))
+    found = docs.select(F.explode(F.array_intersect(known, document_words(F.col(text)))).alias("w"))
     count = {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {w: count.get(w, 0) for w in vocabulary}
 
@@ -76,10 +93,11 @@ def _starts(template: str, key: str, in_docs: dict[str, int]) -> Column:
 def _shares(template: str, starts: Column) -> Column:
     """For each start, the share of the template's words that stand at their places."""
     t = template.split()
+    words = F.array(*[F.lit(x) for x in t])
 
     def share(p: Column) -> Column:
-        hits = [F.coalesce(F.when(p + j >= 0, F.get(F.col("_w"), p + j)) == x, F.lit(False)) for j, x in enumerate(t)]
-        return sum((h.cast("int") for h in hits), F.lit(0)) / F.lit(float(len(t)))
+        hits = F.filter(F.sequence(F.lit(0), F.lit(len(t) - 1)), lambda j: F.get(F.col("_w"), p + j) == F.get(words, j))
+        return F.size(hits) / F.lit(float(len(t)))
 
     return F.transform(starts, share)
 
@@ -131,9 +149,9 @@ def _sql() -> str:
 
     cols = [f"{starts(t, k)} AS b{i}" for i, (_, t, k) in enumerate(BASE)]
     for i, (_, t, k) in enumerate(MORE):
-        words = t.split()
-        hits = " + ".join(f"(CASE WHEN q + {j} >= 0 AND w[q + {j + 1}] = '{x}' THEN 1 ELSE 0 END)" for j, x in enumerate(words))
-        cols.append(f"coalesce(list_max(list_transform({starts(t, k)}, lambda q: ({hits}) / {float(len(words))}::DOUBLE)), 0.0) AS m{i}")
+        n = len(t.split())
+        hits = f"len(list_filter(range({n}), lambda j: q + j >= 0 AND w[q + j + 1] = ({_sql_list(t)})[j + 1]))"
+        cols.append(f"coalesce(list_max(list_transform({starts(t, k)}, lambda q: {hits} / {float(n)}::DOUBLE)), 0.0) AS m{i}")
     every = "list_concat(list_concat(b0, b1), list_concat(b2, b3))"
     base = "list_filter([" + ", ".join(f"CASE WHEN len(b{i}) > 0 THEN '{x[0]}' END" for i, x in enumerate(BASE)) + "], lambda x: x IS NOT NULL)"
     more = "list_filter([" + ", ".join(f"CASE WHEN m{i} >= {SHARE} THEN '{x[0]}' END" for i, x in enumerate(MORE)) + "], lambda x: x IS NOT NULL)"
