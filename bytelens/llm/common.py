@@ -137,6 +137,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+_MIXED = mix64(np.arange(1, 257, dtype=U))
 _BASE = U(0x9E3779B97F4A7C15)
 _INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
@@ -153,5 +154,5 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit polynomial hashes of ``data[start:end]``, in one pass of prefix sums."""
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, U)
-    np.cumsum((mix64(data.astype(U) + U(1))) * up[:-1], dtype=U, out=sums[1:])
+    np.cumsum(_MIXED[data] * up[:-1], dtype=U, out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))

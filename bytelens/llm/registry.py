@@ -19,4 +19,4 @@ QUERIES = {
         sharding.op10_stratified_shards,
     )
 }
-ORACLES = {**topk.ORACLE, **decontaminate.ORACLE, **licenses.ORACLE}
+ORACLES = {**topk.ORACLE, **decontaminate.ORACLE, **suffix.ORACLE, **licenses.ORACLE}

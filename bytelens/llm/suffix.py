@@ -3,15 +3,17 @@
 Every ``SPAN``-byte window belongs to the anchor with the smallest hash among its ``GRAM``-byte grams, so equal
 windows have equal anchors at equal offsets, and a window whose anchor stands in one document only is not repeated.
 
-1. Units of documents (about ``UNIT`` bytes) send the hashes of their anchors and of the anchors' contexts (all windows of the anchor).
-2. Reducers by anchor settle contexts that equal one of a smaller document as a whole, and ask for the bytes
-   of one document's copy of each context where an anchor has several contexts.
+1. Each task cuts its documents into units of about ``UNIT`` bytes, finds their anchors once and writes both to shared scratch. Units send
+   the hashes of their anchors and of the anchors' contexts (all windows of the anchor) to reducers by anchor.
+2. Reducers settle contexts that equal one of a smaller document as a whole (by 64 bits of hash among the contexts of an anchor), and ask for the
+   bytes of each context where an anchor has several contexts in several documents.
 3. Those contexts, but for the ones without any window hash that two documents share, are sorted by suffix arrays, built by linear grouping: suffixes are grouped by Lyndon
    prefix, groups processed in descending order over previous-smaller pointers, and each group's order
    is then emitted in one sweep, without recursive renaming. Neighbours that agree in ``SPAN`` bytes are compared byte by byte; the
    smallest document of each run keeps its window.
 4. Units put both answers together.
 
+Reducers hold about ``GROUP`` bytes of text each, however large the corpus is.
 Copies, however many, send one hash per anchor and context and never meet as pairs.
 
 Defined cases: a null text is empty; a null id neither removes nor loses bytes; rows that share an id never remove
@@ -22,18 +24,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, flat, span_hashes, table
+from .common import U, flat, pieces, scratch, span_hashes, table
 
 SPAN = 50
 GRAM = 16
 UNIT = 2_000_000
-_PLACE = U((1 << 30) - 1)
-_48 = U((1 << 48) - 1)
+#: Bytes of text a reducer answers for.
+GROUP = 16_000_000
+#: Bytes hashed at once: what numpy works on then stays in the processor's cache.
+CACHED = 1 << 15
+_PLACE = U((1 << 16) - 1)
 
 
 def suffix_array(text) -> list[int]:
@@ -102,11 +107,11 @@ def _candidates(contexts: list[bytes], docs: np.ndarray, span: int) -> tuple[np.
     owner = np.repeat(np.arange(len(contexts)), n)
     start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[owner]
     h = span_hashes(np.frombuffer(b"".join(contexts), np.uint8), start, start + span)
-    order = np.lexsort((docs[owner], h))
+    order = np.argsort(h)
     h, doc = h[order], docs[owner][order]
     runs = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     size = np.diff(np.append(runs, len(h)))
-    several = np.repeat(doc[runs] != doc[runs + size - 1], size)
+    several = np.repeat(np.minimum.reduceat(doc, runs) < np.maximum.reduceat(doc, runs), size)
     hit = order[several]
     place = start[hit] - begin[owner[hit]]
     first, last = np.full(len(contexts), len(owner) + 1), np.full(len(contexts), -1)
@@ -180,54 +185,81 @@ def _sorted_windows(contexts: list[bytes], docs: np.ndarray, span: int) -> list[
     return [gone[b : b + s - span + 1] for b, s in zip(begin, sizes)]
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+_PACKER, _UNPACKER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+def _pack(a: np.ndarray) -> bytes:
+    return _PACKER.compress(np.ascontiguousarray(a).tobytes())
 
 
-def _six(a: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8)[:, :6]
+def _unpack(b: bytes, kind) -> np.ndarray:
+    return np.frombuffer(_UNPACKER.decompress(b), kind)
 
 
-def _eight(b: bytes) -> np.ndarray:
-    raw = _unpack(b, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.view(U).ravel()
+def _four(g: np.ndarray) -> bytes:
+    """Half of the anchors' hashes: enough beside the reducer, as anchors taken for one only have their contexts compared."""
+    return (g >> U(32)).astype(np.uint32).tobytes()
 
 
-def _sorted(t: pa.Table) -> pa.Table:
-    """Units are read more than once, each time in this order."""
-    return t.take(pc.sort_indices(t, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+def _gram_hashes(data: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """48-bit hashes (the upper bits) of the ``GRAM`` bytes that begin at each place, or at those of ``at``."""
+    n = len(data) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    eight = np.ndarray((n + 8,), "<u8", data, strides=(1,))
+    low, high = (eight[:n].copy(), eight[8 : n + 8].copy()) if at is None else (eight[at], eight[at + 8])
+    low *= U(0x9E3779B97F4A7C15)
+    low ^= low >> U(32)
+    low += high
+    low *= U(0xBF58476D1CE4E5B9)
+    low ^= low >> U(29)
+    low *= U(0x94D049BB133111EB)
+    low ^= low >> U(32)
+    return low & ~_PLACE
 
 
 def anchors(data: np.ndarray, off: np.ndarray, span: int = SPAN, gram: int = GRAM):
-    """First and last window, anchor hash, context hash and row of each anchor, in order of place."""
-    none = np.zeros(0, np.int64)
-    if len(data) < span:
-        return none, none, none.astype(U), none.astype(U), none
-    at = np.arange(len(data) - gram + 1)
-    g = span_hashes(data, at, at + gram)
-    key = (g & ~_PLACE) | (_PLACE - (at.astype(U) & _PLACE))  # smallest hash, the rightmost of equal ones
-    width, have = span - gram + 1, 1
-    while have * 2 <= width:
-        key = np.minimum(key[:-have], key[have:])
-        have *= 2
-    rest = width - have
-    key = np.minimum(key[: len(key) - rest], key[rest:])
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    window = np.flatnonzero(np.arange(len(key)) + span <= off[1:][row[: len(key)]])
+    """First and last window, and place of each anchor, in order."""
+    n = len(data) - span + 1
+    if n <= 0:
+        return (np.zeros(0, np.int64),) * 3
+    whole = np.ones(n, bool)  # windows inside one row
+    for end in off[1:].tolist():
+        whole[max(0, end - span + 1) : end] = False
+    width = span - gram + 1
+    place = np.empty(n, np.int64)
+    for a in range(0, n, CACHED):
+        b = min(n, a + CACHED)
+        key = _gram_hashes(data[a : b + span - 1])
+        key |= _PLACE - np.arange(len(key), dtype=U)  # smallest hash, the rightmost of equal ones
+        have = 1
+        while have * 2 <= width:
+            key = np.minimum(key[:-have], key[have:])
+            have *= 2
+        rest = width - have
+        key = np.minimum(key[: len(key) - rest], key[rest:])
+        place[a:b] = (_PLACE - (key & _PLACE)).astype(np.int64) + a
+    window = np.flatnonzero(whole)
     if not len(window):
-        return none, none, none.astype(U), none.astype(U), none
-    place = window + ((_PLACE - (key[window] & _PLACE)).astype(np.int64) - window) % (1 << 30)
+        return (np.zeros(0, np.int64),) * 3
+    place = place[window]
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)]))
-    first, last = window[new], window[np.append(new[1:], len(window)) - 1]
-    p = place[new]
-    context = span_hashes(data, first, last + span) + (p - first).astype(U) * U(0x9E3779B97F4A7C15)
-    return first, last, g[p] & _48, context & _48, row[first]
+    return window[new], window[np.append(new[1:], len(window)) - 1], place[new]
+
+
+def _to_bytes(t: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(t)
+    return out.getvalue().to_pybytes()
+
+
+def _by_reducer(to: np.ndarray):
+    """Each reducer with the numbers of its anchors, in order."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
+    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist()):
+        yield int(to[order[a]]), order[a:b]
 
 
 def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -235,36 +267,49 @@ def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
     keep = [c for c in dict.fromkeys(["doc_id", *keep]) if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
     d = docs.select(*dict.fromkeys([*keep, "text"])).withColumn("doc_id", F.col("doc_id").cast("long"))
     total = d.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    units = max(1, -(-total // UNIT))
-    reducers = max(1, min(4096, -(-units // 8)))
-    by_unit = d.withColumn("_u", F.pmod(F.xxhash64("text", "doc_id"), F.lit(units)))
-
-    def unit(t):
-        """Sorted rows, their bytes and anchors (none of rows without an id), and each anchor's reducer."""
-        t = _sorted(t)
-        data, off = flat(t.column("text"))
-        first, last, g, c, row = anchors(data, off)
-        ids = t.column("doc_id")
-        known = ids.is_valid().to_numpy(zero_copy_only=False)
-        ids = ids.fill_null(0).to_numpy()
-        ok = known[row]
-        first, last, g, c, row = (x[ok] for x in (first, last, g, c, row))
-        return t, data, off, first, last, g, c, ids[row], (g % U(reducers)).astype(np.int64)
-
-    def send(key, t):
-        _, _, _, _, _, g, c, doc, to = unit(t)
-        out = {"r": [], "u": [], "a": [], "c": [], "d": []}
-        for r in np.unique(to).tolist():
-            here = np.flatnonzero(to == r)
-            out["r"].append(r), out["u"].append(key[0].as_py())
-            out["a"].append(_pack(_six(g[here]))), out["c"].append(_pack(_six(c[here])))
-            out["d"].append(_pack(np.diff(doc[here], prepend=0)))
-        return pa.table(out, pa.schema([("r", pa.int64()), ("u", pa.int64()), ("a", pa.binary()), ("c", pa.binary()), ("d", pa.binary())]))
+    reducers = max(1, -(-total // GROUP))
+
+    def reducer(g):
+        return ((g >> U(16)) % U(reducers)).astype(np.int64)
+
+    def prepare(batches):
+        """Units with the places of their anchors (none of rows without an id)."""
+        task, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for t in pieces(batch, "text", UNIT):
+                data, off = flat(t.column("text"))
+                first, last, p = anchors(data, off)
+                ok = t.column("doc_id").is_valid().to_numpy(zero_copy_only=False)[np.searchsorted(off, first, side="right") - 1]
+                first, last, p = first[ok], last[ok], p[ok]
+                marks = np.concatenate([np.diff(first, prepend=0), last - first, p - first]).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"u": [task << 32 | n], "a": [_pack(marks)], "x": [_to_bytes(t)]})
+                n += 1
+
+    def unit(marks, rows):
+        """Rows, their bytes, their ids, and the windows, places and hashes of their anchors."""
+        marks = _unpack(marks.as_py(), np.int32).astype(np.int64).reshape(3, -1)
+        rows = pa.ipc.open_stream(rows.as_py()).read_all()
+        data, off = flat(rows.column("text"))
+        first = np.cumsum(marks[0])
+        ids = rows.column("doc_id").combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
+        doc = ids[np.searchsorted(off, first, side="right") - 1]
+        return rows, data, off, doc, first, first + marks[1], first + marks[2], _gram_hashes(data, first + marks[2])
+
+    def send(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, data, _, doc, first, last, p, g = unit(batch.column("a")[i], batch.column("x")[i])
+                c = span_hashes(data, first, last + SPAN) + (p - first).astype(U) * U(0x9E3779B97F4A7C15)
+                out = {"r": [], "u": [], "a": [], "c": [], "d": []}
+                for r, here in _by_reducer(reducer(g)):
+                    for k, v in zip(out, (r, batch.column("u")[i].as_py(), _four(g[here]), c[here].tobytes(), _pack(np.diff(doc[here], prepend=0)))):
+                        out[k].append(v)
+                yield pa.RecordBatch.from_pydict(out, pa.schema([("r", pa.int64()), ("u", pa.int64())] + [(c, pa.binary()) for c in "acd"]))
 
     def settle(key, t):
-        a = [_eight(x) for x in t.column("a").to_pylist()]
+        a = [np.frombuffer(x, np.uint32) for x in t.column("a").to_pylist()]
         cut = np.cumsum([len(x) for x in a])[:-1]
-        a, c = np.concatenate(a), np.concatenate([_eight(x) for x in t.column("c").to_pylist()])
+        a, c = np.concatenate(a), np.concatenate([np.frombuffer(x, U) for x in t.column("c").to_pylist()])
         doc = np.concatenate([np.cumsum(_unpack(x, np.int64)) for x in t.column("d").to_pylist()])
         order = np.lexsort((doc, c, a))
         a, c, doc = a[order], c[order], doc[order]
@@ -281,42 +326,40 @@ def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
         n = len(parts)
         return pa.table({"kind": pa.array([1] * n, pa.int32()), "r": pa.array([key[0].as_py()] * n, pa.int64()), "u": t.column("u"), "x": pa.array([_pack(p) for p in parts], pa.binary())})
 
-    def codes(to, answers, n):
+    def codes(places, answers, n):
         """Codes of a unit's anchors: 1 settled, 2 asked for."""
         code = np.zeros(n, np.uint8)
         for k, r, x in zip(*(answers.column(c).to_pylist() for c in ("kind", "r", "x"))):
             if k == 1:
-                code[to == r] = _unpack(x, np.uint8)
+                code[places[r]] = _unpack(x, np.uint8)
         return code
 
     def tell(key, t, answers):
-        _, data, _, first, last, g, c, doc, to = unit(t)
-        code = codes(to, answers, len(to))
-        out = {"r": [], "u": [], "a": [], "c": [], "d": [], "n": [], "x": []}
-        for r in np.unique(to[code == 2]).tolist():
-            here = np.flatnonzero((to == r) & (code == 2))
-            out["r"].append(r), out["u"].append(key[0].as_py())
-            out["a"].append(_pack(g[here])), out["c"].append(_pack(c[here])), out["d"].append(_pack(doc[here]))
-            out["n"].append(_pack(last[here] + SPAN - first[here]))
-            out["x"].append(_pack(np.concatenate([data[i : j + SPAN] for i, j in zip(first[here].tolist(), last[here].tolist())])))
-        names = [("r", pa.int64()), ("u", pa.int64())] + [(n, pa.binary()) for n in ("a", "c", "d", "n", "x")]
-        return pa.table(out, pa.schema(names))
+        _, data, _, doc, first, last, _, g = unit(t.column("a")[0], t.column("x")[0])
+        to = reducer(g)
+        asked = np.flatnonzero(codes(dict(_by_reducer(to)), answers, len(to)) == 2)
+        first, last, g, doc = first[asked], last[asked], g[asked], doc[asked]
+        out = {"r": [], "u": [], "a": [], "d": [], "n": [], "x": []}
+        for r, here in _by_reducer(to[asked]):
+            size = last[here] + SPAN - first[here]
+            place = np.repeat(first[here] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            for k, v in zip(out, (r, key[0].as_py(), _four(g[here]), _pack(doc[here]), _pack(size), _pack(data[place]))):
+                out[k].append(v)
+        return pa.table(out, pa.schema([("r", pa.int64()), ("u", pa.int64())] + [(n, pa.binary()) for n in ("a", "d", "n", "x")]))
 
     def compare(key, t):
-        a, c = (np.concatenate([_unpack(x, U) for x in t.column(k).to_pylist()]) for k in ("a", "c"))
+        a = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("a").to_pylist()])
         doc, sizes = (np.concatenate([_unpack(x, np.int64) for x in t.column(k).to_pylist()]) for k in ("d", "n"))
         whole = b"".join(_unpack(x, np.uint8).tobytes() for x in t.column("x").to_pylist())
         begin = np.cumsum(sizes) - sizes
-        order = np.lexsort((c, a))
-        new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1])])
-        own = np.empty(len(order), np.int64)
-        own[order] = np.cumsum(new) - 1
-        one = order[new]
-        gone = repeated_windows([whole[b : b + s] for b, s in zip(begin[one].tolist(), sizes[one].tolist())], doc[one], a[one])
+        order = np.argsort(a, kind="stable")
+        gone = repeated_windows([whole[b : b + s] for b, s in zip(begin[order].tolist(), sizes[order].tolist())], doc[order], a[order])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
         out, at = [], 0
         for n in t.column("n").to_pylist():
             n = len(_unpack(n, np.int64))
-            out.append(_pack(np.packbits(np.concatenate([gone[i] for i in own[at : at + n].tolist()]))))
+            out.append(_pack(np.packbits(np.concatenate([gone[i] for i in place[at : at + n].tolist()]))))
             at += n
         n = len(out)
         return pa.table({"kind": pa.array([2] * n, pa.int32()), "r": pa.array([key[0].as_py()] * n, pa.int64()), "u": t.column("u"), "x": pa.array(out, pa.binary())})
@@ -324,15 +367,16 @@ def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = d.select(*keep).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
 
     def finish(key, t, answers):
-        t, data, off, first, last, _, _, _, to = unit(t)
-        code = codes(to, answers, len(to))
-        step = np.zeros(len(data) + 1, np.int64)
+        t, data, off, _, first, last, _, g = unit(t.column("a")[0], t.column("x")[0])
+        places = dict(_by_reducer(reducer(g)))
+        code = codes(places, answers, len(g))
+        step = np.zeros(len(data) + 1, np.int32)
         whole = code == 1
         np.add.at(step, first[whole], 1)
         np.add.at(step, last[whole] + SPAN, -1)
         for k, r, x in zip(*(answers.column(c).to_pylist() for c in ("kind", "r", "x"))):
             if k == 2:
-                here = np.flatnonzero((to == r) & (code == 2))
+                here = places[r][code[places[r]] == 2]
                 size = last[here] - first[here] + 1
                 bits = np.unpackbits(_unpack(x, np.uint8))[: size.sum()].astype(bool)
                 starts = (np.repeat(first[here] - np.cumsum(size) + size, size) + np.arange(size.sum()))[bits]
@@ -355,12 +399,31 @@ def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
         return pa.table(columns, [f.name for f in schema])
 
     reply = "kind int, r long, u long, x binary"
-    settled = by_unit.groupBy("_u").applyInArrow(send, "r long, u long, a binary, c binary, d binary").groupBy("r").applyInArrow(settle, reply)
-    told = by_unit.groupBy("_u").cogroup(settled.groupBy("u")).applyInArrow(tell, "r long, u long, a binary, c binary, d binary, n binary, x binary")
+    cut = scratch(d.mapInArrow(prepare, "u long, a binary, x binary"), "suffix-units")
+    units = cut.groupBy("u")
+    settled = cut.select("u", "a", "x").mapInArrow(send, "r long, u long, a binary, c binary, d binary").groupBy("r").applyInArrow(settle, reply)
+    told = units.cogroup(settled.groupBy("u")).applyInArrow(tell, "r long, u long, a binary, d binary, n binary, x binary")
     compared = told.groupBy("r").applyInArrow(compare, reply)
-    return by_unit.groupBy("_u").cogroup(settled.unionAll(compared).groupBy("u")).applyInArrow(finish, schema)
+    return units.cogroup(settled.unionAll(compared).groupBy("u")).applyInArrow(finish, schema)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = {
+    "op6_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT k, doc_id, i, substr(hx, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(greatest(n - 49, 0))) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS least_id FROM w GROUP BY s),
+r AS (SELECT w.k, w.i FROM w JOIN m ON w.s = m.s WHERE m.least_id < w.doc_id),
+e AS (SELECT k, i, CASE WHEN i <= lag(i) OVER (PARTITION BY k ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS run FROM e),
+p AS (SELECT k, run, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY k, run),
+q AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS last_b FROM p),
+t AS (SELECT q.k, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last_b, string_agg(substr(hx, 2 * q.last_b + 1, 2 * (a - q.last_b)), '' ORDER BY a) AS kept
+  FROM q JOIN d ON q.k = d.k GROUP BY q.k)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN t.k IS NULL THEN hx ELSE kept || substr(hx, 2 * last_b + 1) END)) AS kept_sha256 FROM d LEFT JOIN t ON d.k = t.k"""
+}
