@@ -6,7 +6,12 @@ of bits, so each is dealt to one bucket per choice of ``b - radius`` blocks; ``b
 that buckets stay small, and the result is exact for any ``b``. A bucket's bit planes are stored vertically, 64
 fingerprints a word, and one fingerprint is compared with 64 at a time: a carry-save counter (three bit planes and
 an overflow) adds up the differing bits, and a block of 64 is abandoned once all its counts exceed the radius.
-Buckets of over ``HOT`` fingerprints are split into tiles that meet pairwise. Tiles return spanning links, not all pairs.
+Buckets of over ``HOT`` fingerprints are split into tiles that meet pairwise (the result is exact, and a bucket's work is quadratic in it).
+Tiles return a spanning forest of nearest links, not all pairs. A fingerprint of over a 500th of the rows is joined by broadcast.
+
+``similar_documents`` finds documents that share ``SIMILARITY`` of their ``WORDS``-word shingles: fingerprints of pairs of words, three a document
+with different seeds, are close where texts are, links of any are candidates, and every one is verified by the exact Jaccard similarity
+of the shingle sets. Links of a forest are nearest first, so a link that fails is no nearer than any other between the two sides.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; repeated rows come back
 as rows; a component whose ids are all null has a null component_id; an empty table gives an empty result; other
@@ -23,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, pieces, scratch, table
-from .components import components
+from .common import U, flat, lowered, mix64, pieces, scratch, span_hashes, table, words
+from .components import components, join_unique
 
 SHINGLE = 4
 RADIUS = 4
@@ -32,7 +37,9 @@ SEED = 42
 HOT = 2048
 #: Fingerprints a bucket holds on average at most; fewer choices of blocks, and rows to shuffle, as it grows.
 BUCKET = 1024
-_ALL = U(2**64 - 1)
+#: Similar documents: words of a shingle and the least Jaccard similarity; words of the fingerprints' shingles, their seeds, and bits they may differ in.
+WORDS, SIMILARITY = 5, 0.8
+PAIRS, SEEDS, NEAR = 2, (0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03), 7
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
@@ -46,18 +53,30 @@ def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
     return [digest(whole[a:b], SEED) for a, b in zip(begins, ends[size - 1 :])]
 
 
+def _votes(h: np.ndarray) -> np.uint64:
+    """Bit i is set if it is set in over half of the hashes."""
+    votes = np.zeros(64, np.int64)
+    for k in range(0, len(h), 8192):
+        bits = np.unpackbits(h[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes += bits.sum(axis=0, dtype=np.int32)
+    return (U(1) << np.flatnonzero(votes * 2 > len(h)).astype(U)).sum(dtype=U)
+
+
 def fingerprints(texts: list[str | None], size: int = SHINGLE) -> np.ndarray:
     """Bit i is set if it is set in over half of the shingles' hashes."""
-    out = np.zeros(len(texts), U)
-    weights = U(1) << np.arange(64, dtype=U)
-    for i, t in enumerate(texts):
-        h = shingle_hashes(t, size)
-        if h:
-            votes = np.zeros(64, np.int64)
-            for k in range(0, len(h), 8192):
-                bits = np.unpackbits(np.array(h[k : k + 8192], U).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                votes += bits.sum(axis=0, dtype=np.int32)
-            out[i] = weights[votes * 2 > len(h)].sum(dtype=U)
+    return np.array([_votes(np.array(shingle_hashes(t, size), U)) for t in texts], U).reshape(-1)
+
+
+def pair_fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A fingerprint for each of ``SEEDS`` (columns) of the distinct pairs of neighbouring words of each text (fewer words: of the words)."""
+    starts, ends, first = words(lowered(data), off, False)
+    h = span_hashes(lowered(data), starts, ends)
+    out = np.zeros((len(off) - 1, len(SEEDS)), U)
+    for i in range(len(out)):
+        w = h[first[i] : first[i + 1]]
+        w = np.unique(mix64(w[:-1] * U(0x100000001B3) + w[1:]) if len(w) >= PAIRS else w)
+        for k, seed in enumerate(SEEDS):
+            out[i, k] = _votes(mix64(w ^ U(seed)) if seed else w)
     return out
 
 
@@ -145,6 +164,33 @@ def spanning(n: int, portions) -> np.ndarray:
     return label
 
 
+def forest(fps: np.ndarray, portions) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links, nearest first: ends of its links. Ties are dealt by hash, so that no row gets all of them."""
+
+    def grow(i, j):
+        """Every tree takes its nearest link to another, until none is left."""
+        key = (np.bitwise_count(fps[i] ^ fps[j]).astype(U) << U(56)) | (mix64(fps[i] ^ mix64(fps[j])) >> U(8))
+        order = np.argsort(key, kind="stable")
+        i, j = i[order], j[order]
+        used, tree = np.zeros(len(i), bool), np.arange(len(fps))
+        while True:
+            cross = np.flatnonzero(tree[i] != tree[j])
+            if not len(cross):
+                return i[used], j[used]
+            a, b = tree[i[cross]], tree[j[cross]]
+            _, first = np.unique(np.stack([a, b], axis=1).reshape(-1), return_index=True)
+            pick = cross[np.unique(first // 2)]
+            used[pick] = True
+            tree = spanning(len(fps), [(tree[i[pick]], tree[j[pick]])])[tree]
+
+    i, j = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for x, y in portions:
+        i, j = np.concatenate([i, x]), np.concatenate([j, y])
+        if len(i) > 500_000:
+            i, j = grow(i, j)
+    return grow(i, j)
+
+
 def masks(n: int, radius: int = RADIUS) -> list[int]:
     """Bits that each table of buckets keys on, for n fingerprints."""
     for blocks in range(radius + 1, 2 * radius + 1):
@@ -160,8 +206,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def link(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Distinct longs ``fp`` to (node, root) of those that link to a smaller one."""
+def links(fps: DataFrame, radius: int = RADIUS, nearest: bool = False) -> DataFrame:
+    """Distinct longs ``fp`` to spanning links (a, b) of those that differ in ``radius`` bits at most; ``nearest``: nearest links first."""
     n = fps.count()
     keys = [F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks(n, radius))]
     dealt = fps.select("fp", F.explode(F.array(*keys)).alias("x")).select("fp", "x.t", "x.k")
@@ -180,10 +226,14 @@ def link(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             change = (rows[1:, :4] != rows[:-1, :4]).any(axis=1)
             group = np.concatenate([[0], np.cumsum(change)])
             f = rows[:, 4].view(U)
-            label = spanning(len(f), bit_sliced_links(f, group, radius))
-            moved = np.flatnonzero(label != np.arange(len(f)))
-            a = rows[moved, 4]
-            return pa.RecordBatch.from_pydict({"a": a, "b": rows[label[moved], 4]})
+            found = bit_sliced_links(f, group, radius)
+            if nearest:
+                i, j = forest(f, found)
+            else:
+                j = spanning(len(f), found)
+                i = np.flatnonzero(j != np.arange(len(f)))
+                j = j[i]
+            return pa.RecordBatch.from_pydict({"a": rows[i, 4], "b": rows[j, 4]})
 
         for batch in batches:
             if not batch.num_rows:
@@ -201,7 +251,7 @@ def link(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield out(np.ascontiguousarray(np.concatenate(held)))
 
     sorted_ = dealt.repartition(*cell).sortWithinPartitions(*cell)
-    return components(sorted_.mapInArrow(compare, "a long, b long"))
+    return sorted_.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
@@ -216,12 +266,83 @@ def near_duplicates(docs: DataFrame, keep: list[str], radius: int = RADIUS, size
     keep = [c for c in dict.fromkeys(["doc_id", *keep]) if c not in ("fp", "root", "component_id")]
     d = docs.select(*dict.fromkeys([*keep, "text"]))
     base = scratch(d.mapInArrow(scan, d.select(*keep).schema.add("fp", "long")), "fingerprints")
-    distinct = scratch(base.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
-    roots = link(distinct.select("fp"), radius)
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    by_fp = named.join(smallest, "root").select("fp", "root", "component_id")
-    return base.join(by_fp, "fp")
+    distinct = scratch(base.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "distinct")
+    roots = components(links(distinct.select("fp"), radius))
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "id", "n", F.coalesce("root", "fp").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    total = distinct.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("prints")).first()
+    by_fp = join_unique(named.withColumnRenamed("n", "_n"), smallest, "root", total["prints"]).select("fp", "root", "component_id", F.col("_n").alias("n"))
+    return join_unique(base, scratch(by_fp, "classes"), "fp", total["rows"] or 0)
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a text (told apart by 64-bit hashes): key (XXH64 of the text), first (its smallest id), rows, root (smallest key of its class).
+
+    Defined cases: null and empty texts are one text each and like no other; an id that is null is last; texts of fewer than
+    ``WORDS`` words are similar if they have the same words; empty tables give no rows.
+    """
+
+    def scan(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                f = pair_fingerprints(*flat(part.column("text"))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("id"), *(pa.array(f[:, k]) for k in range(len(SEEDS)))], ["key", "id", *prints])
+
+    prints = [f"f{k}" for k in range(len(SEEDS))]
+    d = docs.select(F.xxhash64(text).alias("key"), F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).cast("long").alias("id")).alias("id"), F.col(text).alias("text"))
+    schema = d.select("key", "id").schema
+    for f in prints:
+        schema = schema.add(f, "long")
+    base = scratch(d.mapInArrow(scan, schema), "fingerprints")
+    texts = base.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows"), *(F.min(f).alias(f) for f in prints))
+    texts = scratch(texts, "texts")
+    found = []
+    for f in prints:
+        fps = scratch(texts.groupBy(F.col(f).alias("fp")).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")), "distinct")
+        near = scratch(links(fps.select("fp"), NEAR, nearest=True).distinct(), "near")
+        of = fps.select("fp", "key")
+        found.append(near.join(of.select(F.col("fp").alias("a"), F.col("key").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("key").alias("y")), "b").select("x", "y"))
+        # texts with one fingerprint: each with the smallest
+        total = texts.count()
+        found.append(join_unique(texts.select("key", F.col(f).alias("fp")), of.join(fps.select("fp", "n").filter("n > 1"), "fp").withColumnRenamed("key", "y"), "fp", total).filter("key <> y").select(F.col("key").alias("x"), "y"))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    pairs = scratch(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
+    good = _verified(d.select("key", "text"), pairs)
+    roots = components(good.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return texts.join(roots, texts["key"] == roots["node"], "left").select("key", "first", "rows", F.coalesce("root", "key").alias("root"))
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text (of all its words, if they are fewer; none for none)."""
+    data = lowered(np.frombuffer(text, np.uint8))
+    starts, ends, _ = words(data, np.array([0, len(data)]), False)
+    h = span_hashes(data, starts, ends)
+    k = min(size, len(h))
+    g = np.zeros(len(h) - k + 1 if k else 0, U)
+    for j in range(k):
+        g = mix64(g * U(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j])
+    return np.unique(g)
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (x, y) of keys whose texts' shingle sets have a Jaccard similarity of ``SIMILARITY`` or more."""
+
+    def sets(batches):
+        for batch in batches:
+            for part in pieces(batch, "text", 1_000_000):
+                found = [shingle_set(t or b"", WORDS).view(np.int64) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found, pa.list_(pa.int64()))], ["key", "s"])
+
+    ends = pairs.select(F.col("x").alias("key")).unionAll(pairs.select("y")).distinct()
+    # one row a text; a copy's text is dropped before it moves on
+    some = texts.join(ends, "key").dropDuplicates(["key"]).mapInArrow(sets, "key long, s array<long>")
+    some = scratch(some, "shingles")
+    left, right = (some.select(F.col("key").alias(c), F.col("s").alias(f"s{c}")) for c in "xy")
+    shared = F.size(F.array_intersect("sx", "sy"))
+    similar = shared >= SIMILARITY * (F.size("sx") + F.size("sy") - shared)
+    return scratch(pairs.join(left, "x").join(right, "y").filter(similar & (F.size("sx") > 0)).select("x", "y"), "verified")
 
 
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

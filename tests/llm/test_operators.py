@@ -264,26 +264,95 @@ def test_shards(spark, here):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(count[s]))
 
 
-def test_pipeline_groups_by_five_words_and_seven_bits(spark):
+def shingles(t, k=5):
+    w = space_words(t)
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def classes(texts, least=0.8):
+    """Smallest row that each text reaches by links of a Jaccard similarity of ``least`` or more."""
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or (sets[i] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return [top(i) for i in range(len(texts))]
+
+
+def test_pipeline_keeps_one_of_each_class_of_similar_texts(spark):
     rng = np.random.default_rng(9)
-    base = [" ".join(f"w{x}" for x in rng.integers(0, 900, 300)) for _ in range(12)]
     texts = []
-    for b in base:
-        for k in range(4):
-            w = b.split()
-            for at in rng.integers(0, 300, 2 * k):
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 900, 300)]
+        for k in (0, 2, 4, 6, 40, 0):
+            w = list(base)
+            for at in rng.integers(0, 300, k):
                 w[at] = "other"
             texts.append(" ".join(w))
-    fp = [int(x) for x in simhash_module.fingerprints(texts, 5)]
-    root = list(range(len(fp)))
-    for _ in fp:
-        for i in range(len(fp)):
-            for j in range(len(fp)):
-                if (fp[i] ^ fp[j]).bit_count() <= 7:
-                    root[i] = min(root[i], root[j])
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
-    assert sorted(kept) == sorted(set(root)) and len(kept) < len(texts)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    want = sorted(set(classes(texts)))
+    assert set(want) <= set(kept) and len(kept) <= len(want) + 1
+    assert len(want) == 24
+
+
+def test_forest_spans_with_nearest_links():
+    rng = np.random.default_rng(2)
+    f = rng.integers(0, 2**63, 120, dtype=np.uint64)
+    f[40:] = f[rng.integers(0, 40, 80)] ^ (np.uint64(1) << rng.integers(0, 64, 80, dtype=np.uint64))
+    f = np.unique(f)
+    pairs = [(i, j) for i in range(len(f)) for j in range(i + 1, len(f)) if int(f[i] ^ f[j]).bit_count() <= 5]
+    i, j = simhash_module.forest(f, [tuple(np.array(x) for x in zip(*pairs))])
+    whole = simhash_module.spanning(len(f), [tuple(np.array(x) for x in zip(*pairs))])
+    assert (simhash_module.spanning(len(f), [(i, j)]) == whole).all() and len(i) == len(f) - len(set(whole.tolist()))
+
+    def weight(edges):  # Kruskal
+        tree, total = list(range(len(f))), 0
+        for d, a, b in sorted((int(f[a] ^ f[b]).bit_count(), a, b) for a, b in edges):
+            if tree[a] != tree[b]:
+                old, total = tree[b], total + d
+                tree = [tree[a] if x == old else x for x in tree]
+        return total
+
+    assert weight(zip(i.tolist(), j.tolist())) == weight(pairs)
+
+
+CLASHES = ("copies", "_id", "_k", "_key", "_copy", "score", "items", "spans", "n_words", "lang_pred", "size", "shard", "grams", "key", "fp", "c", "taken", "__n")
+
+
+def test_pipeline_leaves_extra_columns_alone(spark, here):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{here}/documents.parquet").drop("size", "fp", "shard", "target", "spans", "lang_pred")
+    docs = docs.withColumns({c: F.concat(F.lit(c + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHES})
+    for _, stage in corpus_pipeline.STAGES:
+        columns, types = docs.columns, dict(docs.dtypes)
+        docs = stage(spark, docs, here)
+        taken = corpus_pipeline.PLACED if stage is corpus_pipeline.shards else ()
+        for c in columns:
+            if c not in taken:
+                assert types[c] == dict(docs.dtypes)[c]
+        for r in docs.collect():
+            assert all(r[c] == f"{c}:{'none' if r['doc_id'] is None else r['doc_id']}" for c in CLASHES if c not in taken)
+    texts = {(i, t) for i, t, _, _ in ROWS}
+    assert docs.count() and all((r["doc_id"], r["text"]) in texts for r in docs.collect())
+
+
+def test_pipeline_rejects_languages_it_has_not_learned(spark):
+    rng = np.random.default_rng(4)
+    words = {"en": "the river stone bridge was old when rain fell over town and mill".split(), "de": "der alte fluss stand lange still und die stadt schlief nicht".split()}
+    rows = [(i, " ".join(rng.choice(words[lang], 120)), lang, "a", 0) for i, lang in enumerate(["en", "de"] * 20)]
+    rows += [(100 + i, " ".join("".join(rng.choice(list("qxzvkjw"), 6)) for _ in range(90)), None, "a", 0) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()) == list(range(40))
 
 
 def test_pipeline(spark, here, empty):
@@ -299,4 +368,8 @@ def test_pipeline(spark, here, empty):
     assert set(kept[4]) <= set(kept[3])
     out = corpus_pipeline.run(spark, here)
     assert out.count() == len(kept[4])
+    assert {"text", "source", "shard", "slot"} <= set(out.columns) and out.filter("text IS NULL").count() == 0
+    count = Counter(r["shard"] for r in out.select("shard").collect())
+    assert max(count.values()) - min(count[s] for s in range(40)) <= 1
+    assert out.select("shard", "slot").distinct().count() == out.count()
     assert corpus_pipeline.run(spark, empty).count() == 0
