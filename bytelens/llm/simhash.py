@@ -7,11 +7,12 @@ that buckets stay small, and the result is exact for any ``b``. A bucket's bit p
 fingerprints a word, and one fingerprint is compared with 64 at a time: a carry-save counter (three bit planes and
 an overflow) adds up the differing bits, and a block of 64 is abandoned once all its counts exceed the radius.
 Buckets of over ``HOT`` fingerprints are split into tiles that meet pairwise (the result is exact, and a bucket's work is quadratic in it).
-Tiles return a spanning forest of nearest links, not all pairs. A fingerprint of over a 500th of the rows is joined by broadcast.
+Tiles return spanning links, not all pairs. A fingerprint of over a 500th of the rows is joined by broadcast.
 
 ``similar_documents`` finds documents that share ``SIMILARITY`` of their ``WORDS``-word shingles: fingerprints of pairs of words, three a document
 with different seeds, are close where texts are, links of any are candidates, and every one is verified by the exact Jaccard similarity
-of the shingle sets. Links of a forest are nearest first, so a link that fails is no nearer than any other between the two sides.
+of the shingle sets. Of a group of close texts ``FORESTS`` spanning forests of its nearest links are verified (a number of links in proportion to the
+texts): the similar ones are among them unless all of so many nearer links fail.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; repeated rows come back
 as rows; a component whose ids are all null has a null component_id; an empty table gives an empty result; other
@@ -37,9 +38,9 @@ SEED = 42
 HOT = 2048
 #: Fingerprints a bucket holds on average at most; fewer choices of blocks, and rows to shuffle, as it grows.
 BUCKET = 1024
-#: Similar documents: words of a shingle and the least Jaccard similarity; words of the fingerprints' shingles, their seeds, and bits they may differ in.
+#: Similar documents: words of a shingle and the least Jaccard similarity; words of the fingerprints' shingles, their seeds, bits they may differ in, and forests of links that are verified.
 WORDS, SIMILARITY = 5, 0.8
-PAIRS, SEEDS, NEAR = 2, (0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03), 7
+PAIRS, SEEDS, NEAR, FORESTS = 2, (0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03), 7, 4
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
@@ -164,24 +165,27 @@ def spanning(n: int, portions) -> np.ndarray:
     return label
 
 
-def forest(fps: np.ndarray, portions) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links, nearest first: ends of its links. Ties are dealt by hash, so that no row gets all of them."""
+def forests(fps: np.ndarray, portions, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """``times`` spanning forests of the links without links in common, each nearest first: ends of their links.
+
+    Ties are dealt by hash, so that no row gets all of them.
+    """
 
     def grow(i, j):
         """Every tree takes its nearest link to another, until none is left."""
         key = (np.bitwise_count(fps[i] ^ fps[j]).astype(U) << U(56)) | (mix64(fps[i] ^ mix64(fps[j])) >> U(8))
         order = np.argsort(key, kind="stable")
         i, j = i[order], j[order]
-        used, tree = np.zeros(len(i), bool), np.arange(len(fps))
-        while True:
-            cross = np.flatnonzero(tree[i] != tree[j])
-            if not len(cross):
-                return i[used], j[used]
-            a, b = tree[i[cross]], tree[j[cross]]
-            _, first = np.unique(np.stack([a, b], axis=1).reshape(-1), return_index=True)
-            pick = cross[np.unique(first // 2)]
-            used[pick] = True
-            tree = spanning(len(fps), [(tree[i[pick]], tree[j[pick]])])[tree]
+        used = np.zeros(len(i), bool)
+        for _ in range(times):
+            tree, left = np.arange(len(fps)), np.flatnonzero(~used)
+            while len(left):
+                left = left[tree[i[left]] != tree[j[left]]]
+                _, first = np.unique(np.stack([tree[i[left]], tree[j[left]]], axis=1).reshape(-1), return_index=True)
+                pick = left[np.unique(first // 2)]
+                used[pick] = True
+                tree = spanning(len(fps), [(tree[i[pick]], tree[j[pick]])])[tree]
+        return i[used], j[used]
 
     i, j = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for x, y in portions:
@@ -206,8 +210,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fps: DataFrame, radius: int = RADIUS, nearest: bool = False) -> DataFrame:
-    """Distinct longs ``fp`` to spanning links (a, b) of those that differ in ``radius`` bits at most; ``nearest``: nearest links first."""
+def links(fps: DataFrame, radius: int = RADIUS, nearest: int = 0) -> DataFrame:
+    """Distinct longs ``fp`` to spanning links (a, b) of those that differ in ``radius`` bits at most; ``nearest``: of so many forests, nearest links first."""
     n = fps.count()
     keys = [F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks(n, radius))]
     dealt = fps.select("fp", F.explode(F.array(*keys)).alias("x")).select("fp", "x.t", "x.k")
@@ -228,7 +232,7 @@ def links(fps: DataFrame, radius: int = RADIUS, nearest: bool = False) -> DataFr
             f = rows[:, 4].view(U)
             found = bit_sliced_links(f, group, radius)
             if nearest:
-                i, j = forest(f, found)
+                i, j = forests(f, found, nearest)
             else:
                 j = spanning(len(f), found)
                 i = np.flatnonzero(j != np.arange(len(f)))
@@ -299,7 +303,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     found = []
     for f in prints:
         fps = scratch(texts.groupBy(F.col(f).alias("fp")).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")), "distinct")
-        near = scratch(links(fps.select("fp"), NEAR, nearest=True).distinct(), "near")
+        near = scratch(links(fps.select("fp"), NEAR, FORESTS).distinct(), "near")
         of = fps.select("fp", "key")
         found.append(near.join(of.select(F.col("fp").alias("a"), F.col("key").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("key").alias("y")), "b").select("x", "y"))
         # texts with one fingerprint: each with the smallest
@@ -309,7 +313,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     for more in found[1:]:
         pairs = pairs.unionByName(more)
     pairs = scratch(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
-    good = _verified(d.select("key", "text"), pairs)
+    good = _verified(d, texts.select("key", F.col("first").alias("id")), pairs)
     roots = components(good.select(F.col("x").alias("a"), F.col("y").alias("b")))
     return texts.join(roots, texts["key"] == roots["node"], "left").select("key", "first", "rows", F.coalesce("root", "key").alias("root"))
 
@@ -326,8 +330,11 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(g)
 
 
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (x, y) of keys whose texts' shingle sets have a Jaccard similarity of ``SIMILARITY`` or more."""
+def _verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (x, y) of keys whose texts' shingle sets have a Jaccard similarity of ``SIMILARITY`` or more.
+
+    ``rows``: key, id, text; ``firsts``: each key's smallest id, whose row alone shows its text, so that copies do not meet.
+    """
 
     def sets(batches):
         for batch in batches:
@@ -336,8 +343,9 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found, pa.list_(pa.int64()))], ["key", "s"])
 
     ends = pairs.select(F.col("x").alias("key")).unionAll(pairs.select("y")).distinct()
-    # one row a text; a copy's text is dropped before it moves on
-    some = texts.join(ends, "key").dropDuplicates(["key"]).mapInArrow(sets, "key long, s array<long>")
+    ends = firsts.join(ends, "key").select(F.col("key").alias("k"), F.col("id.none").alias("n"), F.coalesce("id.id", F.lit(0)).alias("i"))
+    one = (F.col("key") == F.col("k")) & (F.coalesce("id.id", F.lit(0)) == F.col("i")) & (F.col("id.none") == F.col("n"))
+    some = rows.join(ends, one).select("key", "text").dropDuplicates(["key"]).mapInArrow(sets, "key long, s array<long>")
     some = scratch(some, "shingles")
     left, right = (some.select(F.col("key").alias(c), F.col("s").alias(f"s{c}")) for c in "xy")
     shared = F.size(F.array_intersect("sx", "sy"))
