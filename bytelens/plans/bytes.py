@@ -7,110 +7,86 @@ from __future__ import annotations
 
 from bytelens.functions.dialect import POISSON
 
-_ORDERS = "(SELECT id AS k FROM @IDS{4})"
-_CTX = "CASE k WHEN 0 THEN '' WHEN 1 THEN p1 WHEN 2 THEN p2 || p1 ELSE p3 || p2 || p1 END"
-_LADDER = f"""WITH @GRAMS,
-e AS (SELECT source, k, {_CTX} AS ctx, h FROM g CROSS JOIN {_ORDERS} WHERE i >= k),
-j AS (SELECT source, k, ctx, h, count(*) AS c FROM e GROUP BY source, k, ctx, h),
+_LADDER = """WITH @COUNTS{source|0,1,2,3|},
 t AS (SELECT *, sum(c) OVER (PARTITION BY source, k, ctx) AS t FROM j)
 SELECT source, CAST(k AS BIGINT) AS ord, round(sum(c * (log2(t) - log2(c))) / sum(c), 6) AS h,
   count(DISTINCT ctx) AS contexts, CAST(sum(c) AS BIGINT) AS positions FROM t GROUP BY source, k"""
-_H0 = """WITH @BYTES, j AS (SELECT {key}, x, count(*) AS c FROM bb GROUP BY {key}, x),
+_H0 = """WITH @COUNTS{{key}|0|},
 t AS (SELECT *, sum(c) OVER (PARTITION BY {key}) AS n FROM j)
 SELECT {key}, round(-sum(c / n * log2(c / n)), 6) AS h0, CAST(max(n) AS BIGINT) AS n, count(*) AS symbols FROM t GROUP BY {key}"""
-_THIRDS = """WITH @GRAMS,
-e AS (SELECT source, CASE WHEN i < @DIV{len|3} THEN 0 WHEN i < @DIV{2 * len|3} THEN 1 ELSE 2 END AS third, k,
-  CASE k WHEN 0 THEN '' ELSE p1 END AS ctx, h FROM g CROSS JOIN (SELECT id AS k FROM @IDS{2}) WHERE i >= k),
-j AS (SELECT source, third, k, ctx, h, count(*) AS c FROM e GROUP BY source, third, k, ctx, h),
-t AS (SELECT *, sum(c) OVER (PARTITION BY source, third, k, ctx) AS t FROM j),
-l AS (SELECT source, CAST(third AS BIGINT) AS third, CAST(k AS BIGINT) AS ord, sum(c * (log2(t) - log2(c))) / sum(c) AS h FROM t GROUP BY source, third, k)"""
-_ACF = """WITH @BYTES,
-m AS (SELECT source, avg(x) AS mu, var_pop(x) AS v FROM bb GROUP BY source),
-l AS (SELECT id, CAST(power(2, id) AS BIGINT) AS lg FROM @IDS{9} WHERE id <> 7),
-w AS (SELECT source, x, lag(x, 1) OVER w AS x0, lag(x, 2) OVER w AS x1, lag(x, 4) OVER w AS x2, lag(x, 8) OVER w AS x3, lag(x, 16) OVER w AS x4,
-  lag(x, 32) OVER w AS x5, lag(x, 64) OVER w AS x6, lag(x, 256) OVER w AS x8 FROM bb WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-p AS (SELECT w.source, l.lg, x, CASE l.id WHEN 0 THEN x0 WHEN 1 THEN x1 WHEN 2 THEN x2 WHEN 3 THEN x3 WHEN 4 THEN x4 WHEN 5 THEN x5 WHEN 6 THEN x6 ELSE x8 END AS y
-  FROM w CROSS JOIN l),
-a AS (SELECT p.source, p.lg, avg((x - mu) * (y - mu)) / max(v) AS acf FROM p JOIN m ON p.source = m.source WHERE y IS NOT NULL GROUP BY p.source, p.lg)"""
-_HOLD = """WITH @GRAMS,
-e AS (SELECT source, k, CASE k WHEN 0 THEN '' WHEN 1 THEN p1 ELSE p2 || p1 END AS ctx, h, i < @DIV{len|2} AS train
-  FROM g CROSS JOIN (SELECT id AS k FROM @IDS{3}) WHERE i >= k AND (i < @DIV{len|2} OR i >= @DIV{len|2} + k)),
-c AS (SELECT source, k, ctx, h, count(*) AS c FROM e WHERE train GROUP BY source, k, ctx, h),
-t AS (SELECT source, k, ctx, sum(c) AS t FROM c GROUP BY source, k, ctx),
-s AS (SELECT source, k, ctx, h, count(*) AS n FROM e WHERE NOT train GROUP BY source, k, ctx, h),
+_THIRDS = """WITH @COUNTS{source|0,1|third},
+t AS (SELECT *, sum(c) OVER (PARTITION BY source, piece, k, ctx) AS t FROM j),
+l AS (SELECT source, CAST(piece AS BIGINT) AS third, CAST(k AS BIGINT) AS ord, sum(c * (log2(t) - log2(c))) / sum(c) AS h FROM t GROUP BY source, piece, k)"""
+_ACF = """WITH @LAGS,
+m AS (SELECT source, CAST(sx AS DOUBLE) / n AS mu, CAST(sxy AS DOUBLE) / n - (CAST(sx AS DOUBLE) / n) * (CAST(sx AS DOUBLE) / n) AS v FROM l WHERE lag = 0),
+a AS (SELECT l.source, l.lag AS lg, (CAST(sxy AS DOUBLE) / n - mu * (CAST(sx + sy AS DOUBLE) / n) + mu * mu) / v AS acf FROM l JOIN m ON l.source = m.source WHERE l.lag > 0)"""
+_HOLD = """WITH @COUNTS{source|0,1,2|held},
+c AS (SELECT source, k, ctx, x, c FROM j WHERE piece = 0), t AS (SELECT source, k, ctx, sum(c) AS t FROM c GROUP BY source, k, ctx),
+s AS (SELECT source, k, ctx, x, c AS n FROM j WHERE piece = 1),
 r AS (SELECT s.source, s.k, s.n, coalesce(c.c, 0) AS c, coalesce(t.t, 0) AS t FROM s
-  LEFT JOIN c ON s.source = c.source AND s.k = c.k AND s.ctx = c.ctx AND s.h = c.h
+  LEFT JOIN c ON s.source = c.source AND s.k = c.k AND s.ctx = c.ctx AND s.x = c.x
   LEFT JOIN t ON s.source = t.source AND s.k = t.k AND s.ctx = t.ctx),
 o AS (SELECT source, CAST(k AS BIGINT) AS ord, round(-sum(n * log2((c + 1) / (t + 256.0))) / sum(n), 6) AS ce,
   round(sum(CASE WHEN t > 0 THEN n ELSE 0 END) / sum(n), 6) AS coverage FROM r GROUP BY source, k)"""
 
 
-def _cmi(key: str, source: str) -> str:
-    """I(high; low | context) in bits with the Miller-Madow correction, from (key, c, x); everything follows from the counts of cells."""
+def _cmi(key: str, source: str, cells: str = "") -> str:
+    """I(high; low | context) in bits with the Miller-Madow correction, from ``cells`` (key, c, x, m): counts m of bytes x after contexts c."""
+    cells = cells or f"SELECT {key}, c, x, count(*) AS m FROM p0 GROUP BY {key}, c, x"
     parts = ",\n".join(
-        f"{n} AS (SELECT {key}, sum(m * log2(m)) AS s{n}, count(*) AS k{n} FROM (SELECT {key}, {cols}, sum(m) AS m FROM j GROUP BY {key}, {cols}) z GROUP BY {key})"
+        f"{n} AS (SELECT {key}, sum(m * log2(m)) AS s{n}, count(*) AS k{n} FROM (SELECT {key}, {cols}, sum(m) AS m FROM y GROUP BY {key}, {cols}) z GROUP BY {key})"
         for n, cols in (("cx", "c, hi, lo"), ("ch", "c, hi"), ("cl", "c, lo"), ("c0", "c"))
     )
     on = " AND ".join(f"{{a}}.{k.strip()} = {{b}}.{k.strip()}" for k in key.split(","))
     join = " ".join(f"JOIN {t} ON {on.format(a='cx', b=t)}" for t in ("ch", "cl", "c0", "nn"))
     cols = ", ".join(f"cx.{k.strip()}" for k in key.split(","))
     return f"""{source},
-j0 AS (SELECT {key}, c, x, count(*) AS m FROM p0 GROUP BY {key}, c, x), j AS (SELECT *, x % 16 AS lo, @DIV{{x|16}} AS hi FROM j0),
+j0 AS ({cells}), y AS (SELECT *, x % 16 AS lo, @DIV{{x|16}} AS hi FROM j0),
 {parts},
-nn AS (SELECT {key}, sum(m) AS n FROM j GROUP BY {key})
+nn AS (SELECT {key}, sum(m) AS n FROM y GROUP BY {key})
 SELECT {cols}, round((scx + sc0 - sch - scl) / n - (kcx - kch - kcl + kc0) / (2.0 * n * ln(2)), 6) AS cmi FROM cx {join}"""
 
 
-_B2 = """WITH @GRAMS, w AS (SELECT doc_id, len, i,
-  count(*) OVER (PARTITION BY doc_id, h ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c0, i AS t0,
-  CASE WHEN i >= 1 THEN count(*) OVER (PARTITION BY doc_id, p1, h ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE 0 END AS c1,
-  CASE WHEN i >= 1 THEN count(*) OVER (PARTITION BY doc_id, p1 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE 0 END AS t1,
-  CASE WHEN i >= 2 THEN count(*) OVER (PARTITION BY doc_id, p2, p1, h ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE 0 END AS c2,
-  CASE WHEN i >= 2 THEN count(*) OVER (PARTITION BY doc_id, p2, p1 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE 0 END AS t2 FROM g),
-z AS (SELECT doc_id, len, log2(256 + 32 * t0) - log2(1 + 32 * c0) AS b0,
-  CASE WHEN t2 > 0 THEN log2(256 + 32 * t2) - log2(1 + 32 * c2) WHEN t1 > 0 THEN log2(256 + 32 * t1) - log2(1 + 32 * c1)
-  ELSE log2(256 + 32 * t0) - log2(1 + 32 * c0) END AS b2 FROM w)"""
 _BLK = """WITH d AS (SELECT doc_id, source, text, CAST(octet_length(@UTF{text}) AS BIGINT) AS n FROM documents),
 k AS (SELECT *, @EACH{0|@DIV{n - 1|1024}} AS blk FROM d WHERE n > 0)"""
 
 SQL = {
-    "q01_byte_histogram": "WITH @BYTES SELECT x, count(*) AS n FROM bb GROUP BY x",
+    "q01_byte_histogram": "WITH @COUNTS{lang|0|} SELECT x, CAST(sum(c) AS BIGINT) AS n FROM j GROUP BY x",
     "q02_h0_by_source": _H0.replace("{key}", "source"),
     "q03_h0_by_lang": _H0.replace("{key}", "lang"),
     "q04_cond_entropy_ladder": _LADDER,
     "q05_thirds_ladder": _THIRDS + " SELECT source, third, ord, round(h, 6) AS h FROM l",
     "q06_stationarity_verdict": _THIRDS + """, s AS (SELECT source, ord, (max(h) - min(h)) / avg(h) AS spread FROM l GROUP BY source, ord)
 SELECT source, ord, round(spread, 6) AS rel_spread, CASE WHEN spread <= 0.05 THEN 'qualifies' WHEN spread <= 0.20 THEN 'marginal' ELSE 'fails' END AS verdict FROM s""",
-    "q07_acf_lags": _ACF + " SELECT source, lg AS lag_bytes, round(acf, 6) AS acf FROM a",
+    "q07_acf_lags": _ACF + " SELECT source, CAST(lg AS BIGINT) AS lag_bytes, round(acf, 6) AS acf FROM a",
     "q08_mixing_verdict": _ACF + """ SELECT source, round(max(abs(acf)), 6) AS acf_far_max,
 CASE WHEN max(abs(acf)) <= 0.05 THEN 'qualifies' WHEN max(abs(acf)) <= 0.15 THEN 'marginal' ELSE 'fails' END AS verdict FROM a WHERE lg >= 64 GROUP BY source""",
     "q09_holdout_ce": _HOLD + " SELECT * FROM o",
     "q10_best_order": _HOLD + ", r2 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ce, ord) AS rk FROM o) SELECT source, ord, ce FROM r2 WHERE rk = 1",
-    "q11_nibble_cmi": _cmi("source", "WITH @GRAMS, p0 AS (SELECT source, p1 AS c, x FROM g WHERE i >= 1)"),
+    "q11_nibble_cmi": _cmi("source", "WITH @COUNTS{source|1|}", "SELECT source, ctx AS c, x, c AS m FROM j"),
     "q12_cmi_perm_null": _cmi("source", """WITH @GRAMS, r0 AS (SELECT source, p1 AS c, x % 16 AS lo, @DIV{x|16} AS hi,
   row_number() OVER (PARTITION BY source, p1, @DIV{doc_id|4096} ORDER BY doc_id, i) AS r1,
-  row_number() OVER (PARTITION BY source, p1, @DIV{doc_id|4096} ORDER BY @SHA{concat('7:', CAST(doc_id AS VARCHAR(20)), ':', CAST(i AS VARCHAR(20)))}, doc_id, i) AS r2, @DIV{doc_id|4096} AS part FROM g WHERE i >= 1),
-p0 AS (SELECT a.source, a.c, a.hi * 16 + b.lo AS x FROM r0 a JOIN r0 b ON a.source = b.source AND a.c = b.c AND a.part = b.part AND a.r1 = b.r2)"""),
-    "q14_split_half_drift": _cmi("source, half", "WITH @GRAMS, p0 AS (SELECT source, CASE WHEN i < @DIV{len|2} THEN 0 ELSE 1 END AS half, p1 AS c, x FROM g WHERE i >= 1)"),
-    "q15_plane_cmi": _cmi("lang, plane", "WITH @GRAMS, p0 AS (SELECT lang, i % 4 AS plane, p1 AS c, x FROM g WHERE i >= 1)"),
-    "q23_adaptive_bits_order0": _B2 + " SELECT doc_id, round(sum(b0), 4) AS bits FROM z GROUP BY doc_id",
-    "q24_adaptive_bits_backoff": _B2 + " SELECT doc_id, round(sum(b2), 4) AS bits FROM z GROUP BY doc_id",
-    "q25_block_bpb": _B2 + " SELECT doc_id, round(sum(b2) / max(len), 6) AS bpb FROM z GROUP BY doc_id",
-    "q26_ideal_vs_store": _B2 + """, s AS (SELECT doc_id, max(len) AS raw, CAST(ceil(round(sum(b2), 4) / 8) AS BIGINT) AS coded FROM z GROUP BY doc_id)
+  row_number() OVER (PARTITION BY source, p1, @DIV{doc_id|4096} ORDER BY @SHA{concat('7:', CAST(doc_id AS VARCHAR(20)), ':', CAST(i AS VARCHAR(20)))}, doc_id, i) AS r2, @DIV{doc_id|4096} AS piece FROM g WHERE i >= 1),
+p0 AS (SELECT a.source, a.c, a.hi * 16 + b.lo AS x FROM r0 a JOIN r0 b ON a.source = b.source AND a.c = b.c AND a.piece = b.piece AND a.r1 = b.r2)"""),
+    "q14_split_half_drift": _cmi("source, half", "WITH @COUNTS{source|1|half}", "SELECT source, CAST(piece AS BIGINT) AS half, ctx AS c, x, c AS m FROM j"),
+    "q15_plane_cmi": _cmi("lang, plane", "WITH @COUNTS{lang|1|plane}", "SELECT lang, piece AS plane, ctx AS c, x, c AS m FROM j"),
+    "q23_adaptive_bits_order0": "WITH @ADAPTIVE SELECT doc_id, round(b0, 4) AS bits FROM a",
+    "q24_adaptive_bits_backoff": "WITH @ADAPTIVE SELECT doc_id, round(b2, 4) AS bits FROM a",
+    "q25_block_bpb": "WITH @ADAPTIVE SELECT doc_id, round(b2 / len, 6) AS bpb FROM a",
+    "q26_ideal_vs_store": """WITH @ADAPTIVE, s AS (SELECT doc_id, len AS raw, CAST(ceil(round(b2, 4) / 8) AS BIGINT) AS coded FROM a)
 SELECT doc_id, raw, coded, CASE WHEN coded >= raw THEN raw ELSE coded END AS stored, coded >= raw AS store_mode FROM s""",
-    "q30_frozen_bits": """WITH @GRAMS, j AS (SELECT source, p1, h, count(*) AS c FROM g WHERE i >= 1 GROUP BY source, p1, h),
-t AS (SELECT *, sum(c) OVER (PARTITION BY source, p1) AS t FROM j)
+    "q30_frozen_bits": """WITH @COUNTS{source|1|}, t AS (SELECT *, sum(c) OVER (PARTITION BY source, ctx) AS t FROM j)
 SELECT source, round(sum(c * (log2(256 + 32 * t) - log2(1 + 32 * c))), 2) AS bits, count(*) AS entries FROM t GROUP BY source""",
-    "q31_prune_contexts": """WITH @GRAMS, j0 AS (SELECT source, h, count(*) AS c FROM g GROUP BY source, h), a0 AS (SELECT *, sum(c) OVER (PARTITION BY source) AS t FROM j0),
-j AS (SELECT source, p1, h, count(*) AS c FROM g WHERE i >= 1 GROUP BY source, p1, h), a1 AS (SELECT *, sum(c) OVER (PARTITION BY source, p1) AS t FROM j),
-s AS (SELECT a1.source, a1.p1, sum(a1.c * ((log2(256 + 32 * a0.t) - log2(1 + 32 * a0.c)) - (log2(256 + 32 * a1.t) - log2(1 + 32 * a1.c)))) AS gain,
-  count(*) * 2 + sum(CASE WHEN a1.c < 128 THEN 1 WHEN a1.c < 16384 THEN 2 ELSE 3 END) + 2 AS cost_bytes FROM a1 JOIN a0 ON a1.source = a0.source AND a1.h = a0.h GROUP BY a1.source, a1.p1)
+    "q31_prune_contexts": """WITH @COUNTS{source|0,1|}, t AS (SELECT *, sum(c) OVER (PARTITION BY source, k, ctx) AS t FROM j),
+a0 AS (SELECT * FROM t WHERE k = 0), a1 AS (SELECT * FROM t WHERE k = 1),
+s AS (SELECT a1.source, a1.ctx, sum(a1.c * ((log2(256 + 32 * a0.t) - log2(1 + 32 * a0.c)) - (log2(256 + 32 * a1.t) - log2(1 + 32 * a1.c)))) AS gain,
+  count(*) * 2 + sum(CASE WHEN a1.c < 128 THEN 1 WHEN a1.c < 16384 THEN 2 ELSE 3 END) + 2 AS cost_bytes FROM a1 JOIN a0 ON a1.source = a0.source AND a1.x = a0.x GROUP BY a1.source, a1.ctx)
 SELECT source, count(*) AS contexts, CAST(sum(CASE WHEN gain > 8 * cost_bytes THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM s GROUP BY source""",
-    "q34_class_partition": """WITH @GRAMS, j AS (SELECT p1, x, count(*) AS c FROM g WHERE i >= 1 GROUP BY p1, x),
-r AS (SELECT *, row_number() OVER (PARTITION BY p1 ORDER BY c DESC, x) AS rk FROM j)
-SELECT p1, CASE WHEN rk = 1 THEN 'C0' WHEN rk <= 16 THEN 'CAND' ELSE 'ESC' END AS class, CAST(sum(c) AS BIGINT) AS total FROM r
-GROUP BY p1, CASE WHEN rk = 1 THEN 'C0' WHEN rk <= 16 THEN 'CAND' ELSE 'ESC' END""",
-    "q35_cumulative_freq": """WITH @BYTES, j AS (SELECT source, x, count(*) AS c FROM bb GROUP BY source, x)
+    "q34_class_partition": """WITH @COUNTS{lang|1|}, s AS (SELECT ctx, x, sum(c) AS c FROM j GROUP BY ctx, x),
+r AS (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY c DESC, x) AS rk FROM s)
+SELECT @HEXBYTE{ctx} AS p1, CASE WHEN rk = 1 THEN 'C0' WHEN rk <= 16 THEN 'CAND' ELSE 'ESC' END AS class, CAST(sum(c) AS BIGINT) AS total FROM r
+GROUP BY ctx, CASE WHEN rk = 1 THEN 'C0' WHEN rk <= 16 THEN 'CAND' ELSE 'ESC' END""",
+    "q35_cumulative_freq": """WITH @COUNTS{source|0|}
 SELECT source, x, CAST(sum(1 + 32 * c) OVER (PARTITION BY source ORDER BY x ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM j""",
     "q36_block_scan": _BLK + " SELECT doc_id, blk, @SHABIN{@BIN{@UTF{text}|blk * 1024 + 1|1024}} AS sha, least(1024, n - blk * 1024) AS bytes FROM k",
     "q37_num_blocks": "SELECT doc_id, @DIV{octet_length(@UTF{text}) + 1023|1024} AS blocks, @DIV{octet_length(@UTF{text})|1024} AS full_blocks FROM documents WHERE text IS NOT NULL",
@@ -128,9 +104,10 @@ SELECT q.doc_id, q.p, count(*) AS blocks, min(k.blk) AS first_block, max(k.blk)
 AND k.blk * 1024 < q.p + 3000 AND k.blk * 1024 + 1024 > q.p GROUP BY q.doc_id, q.p""",
     "q45_decode_window_bound": _BLK + """, q AS (SELECT doc_id, n, @SEED{concat('read:', CAST(doc_id AS VARCHAR(20)))} % n AS p FROM d WHERE n > 0)
 SELECT doc_id, p % 1024 AS warm_up, least(n, p + 500) - (p - p % 1024) AS decoded, p % 1024 <= 1023 AND least(n, p + 500) - (p - p % 1024) <= 1524 AS within FROM q""",
-    "q13_cmi_chunk_boot": f"""WITH @GRAMS, k AS (SELECT doc_id, @DIV{{i|2048}} AS chunk, p1 AS c, substr(h, 1, 1) AS a, substr(h, 2, 1) AS b, count(*) AS n FROM g WHERE i >= 1 GROUP BY doc_id, @DIV{{i|2048}}, p1, substr(h, 1, 1), substr(h, 2, 1)),
-u AS (SELECT r.id AS r, k.*, @SEED{{concat('cmi:', CAST(r.id AS VARCHAR(20)), ':', CAST(doc_id AS VARCHAR(20)), ':', CAST(chunk AS VARCHAR(20)))}} % 10000 AS u FROM k CROSS JOIN @IDS{{4}} r),
-w AS (SELECT r, c, a, b, sum(n * {POISSON}) AS n FROM u GROUP BY r, c, a, b),
+    "q13_cmi_chunk_boot": f"""WITH @COUNTS{{doc_id|1|chunk}}, k AS (SELECT doc_id, piece AS chunk, ctx AS c, @DIV{{x|16}} AS a, x % 16 AS b, c AS n FROM j),
+u AS (SELECT r.id AS r, k.doc_id, k.chunk, @SEED{{concat('cmi:', CAST(r.id AS VARCHAR(20)), ':', CAST(doc_id AS VARCHAR(20)), ':', CAST(chunk AS VARCHAR(20)))}} % 10000 AS u FROM (SELECT DISTINCT doc_id, chunk FROM k) k CROSS JOIN @IDS{{4}} r),
+p AS (SELECT r, doc_id, chunk, {POISSON} AS p FROM u),
+w AS (SELECT r, c, a, b, sum(n * p) AS n FROM k JOIN p ON k.doc_id = p.doc_id AND k.chunk = p.chunk WHERE p > 0 GROUP BY r, c, a, b),
 t AS (SELECT *, sum(n) OVER (PARTITION BY r, c) AS nc, sum(n) OVER (PARTITION BY r, c, a) AS na, sum(n) OVER (PARTITION BY r, c, b) AS nb FROM w WHERE n > 0)
 SELECT CAST(r AS BIGINT) AS resample, round(sum(n * (log2(n) + log2(nc) - log2(na) - log2(nb))) / sum(n), 6) AS cmi, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY r""",
     "q46_phrase_candidates": """WITH d AS (SELECT item_id, hex(@UTF{text}) AS hx, octet_length(@UTF{text}) AS n FROM benchmark),
@@ -139,12 +116,11 @@ s AS (SELECT substr(hx, CAST(2 * i + 1 AS INT), CAST(2 * l AS INT)) AS phrase, l
 c AS (SELECT phrase, l, count(*) AS n FROM s GROUP BY phrase, l HAVING count(*) >= 4),
 r AS (SELECT *, row_number() OVER (ORDER BY n * (l - 1) DESC, phrase) AS rk FROM c)
 SELECT phrase, CAST(l AS BIGINT) AS len, n, CAST(rk AS BIGINT) AS rk FROM r WHERE rk <= 3000""",
-    "q92_kt_log_loss": """WITH @BYTES, w AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM bb)
-SELECT doc_id, round(-sum(log2((c + 0.5) / (i + 128.0))), 4) AS bits FROM w GROUP BY doc_id""",
+    "q92_kt_log_loss": "WITH @ADAPTIVE SELECT doc_id, round(kt, 4) AS bits FROM a",
     "q95_edit_blocks": _BLK + """, q AS (SELECT doc_id, n, @SEED{concat('edit:', CAST(doc_id AS VARCHAR(20)))} % n AS p FROM d WHERE n > 0)
 SELECT doc_id, @DIV{least(n - 1, p + 99)|1024} - @DIV{p|1024} + 1 AS replaced, @DIV{n - 1|1024} - @DIV{p|1024} + 1 AS shifted FROM q""",
-    "q100_mask_class_entropy": """WITH @BYTES, w AS (SELECT source, x, lag(x, 1) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM bb),
-c AS (SELECT source, CASE @POP{@XOR{x|y}} WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS class, count(*) AS c FROM w WHERE y IS NOT NULL GROUP BY 1, 2),
+    "q100_mask_class_entropy": """WITH @COUNTS{source|1|}, w AS (SELECT source, x, @BYTEOF{ctx} AS y, c FROM j),
+c AS (SELECT source, CASE @POP{@XOR{x|y}} WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS class, sum(c) AS c FROM w GROUP BY 1, 2),
 t AS (SELECT *, sum(c) OVER (PARTITION BY source) AS n FROM c)
 SELECT source, round(-sum(c / n * log2(c / n)), 6) AS class_bits, round(sum(c / n * CASE class WHEN 0 THEN 0 WHEN 1 THEN 4 WHEN 2 THEN 7 ELSE 12 END), 6) AS payload_bits FROM t GROUP BY source""",
 }

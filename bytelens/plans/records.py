@@ -22,8 +22,11 @@ s AS (SELECT b, {stat} AS s FROM w GROUP BY b)"""
 _MEAN = "CAST(sum(w * v) AS DOUBLE) / (100 * sum(w * n))"
 _RUNS = """r AS (SELECT o_orderkey AS run_idx, o_orderpriority AS ctype, o_orderstatus AS coder, o_totalprice AS enc_s, o_custkey,
   CASE o_orderkey % 10 WHEN 0 THEN 'censored' WHEN 1 THEN 'failed' ELSE 'done' END AS status, o_orderkey % 7 <> 3 AS roundtrip_ok FROM orders)"""
-_COST = """t AS (SELECT doc_id, source, CAST(octet_length(@UTF{text}) AS BIGINT) AS n, text FROM documents WHERE octet_length(@UTF{text}) > 0),
-c AS (SELECT doc_id, source, n, m.id AS mode, CASE m.id WHEN 0 THEN 8 * n ELSE 3 + @SEED{concat(CAST(m.id AS VARCHAR(20)), ':', CAST(doc_id AS VARCHAR(20)))} % (8 * n) END AS bits FROM t CROSS JOIN @IDS{4} m)"""
+#: Four modes of a document: store, and adaptive models of orders 0 to 2; bits of the whole text, u as its first quarter lets expect.
+_COST = """@ADAPTIVE,
+c0 AS (SELECT doc_id, source, len AS n, m.id AS mode, CASE m.id WHEN 0 THEN 8 * len WHEN 1 THEN CAST(round(b0) AS BIGINT) WHEN 2 THEN CAST(round(b1) AS BIGINT) ELSE CAST(round(b2) AS BIGINT) END AS bits,
+  CASE m.id WHEN 0 THEN 8.0 * len WHEN 1 THEN e0 * len / greatest(1, @DIV{len|4}) WHEN 2 THEN e1 * len / greatest(1, @DIV{len|4}) ELSE e2 * len / greatest(1, @DIV{len|4}) END AS x FROM a CROSS JOIN @IDS{4} m),
+c AS (SELECT doc_id, source, n, mode, bits, CASE WHEN n < 4 THEN bits ELSE CAST(round(x) AS BIGINT) END AS u FROM c0)"""
 _SEL = f"""WITH {_COST}, o AS (SELECT doc_id, source, min(bits) AS best FROM c GROUP BY doc_id, source),
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY bits, mode) AS rk FROM c)"""
 _NODE = "SELECT id, (id + 0.5) / 1000.0 AS u FROM @IDS{1000}"
@@ -77,9 +80,9 @@ SELECT min(p.k) AS k, p.thr, p.bpb FROM p JOIN f ON p.thr = f.thr AND p.bpb = f.
     "q64_manifest_patch_sets": "WITH q AS (SELECT c_nationkey AS k, c_mktsegment AS s, avg(c_acctbal) > 4500 AS ok FROM customer GROUP BY c_nationkey, c_mktsegment), p AS (SELECT DISTINCT s_nationkey AS k, 'BUILDING' AS s FROM supplier) SELECT q.k, @SORTED{CASE WHEN ok AND p.k IS NULL THEN q.s END} AS added, @SORTED{CASE WHEN NOT ok AND p.k IS NOT NULL THEN q.s END} AS removed FROM q LEFT JOIN p ON q.k = p.k AND q.s = p.s GROUP BY q.k",
     "q65_mode_costs": f"WITH {_COST} SELECT source, CAST(mode AS BIGINT) AS mode, CAST(sum(bits) AS BIGINT) AS bits FROM c GROUP BY source, mode",
     "q66_oracle_fixed_regret": _SEL + ", f AS (SELECT source, mode, sum(bits) AS bits FROM c GROUP BY source, mode), b AS (SELECT source, min(bits) AS fixed FROM f GROUP BY source), s AS (SELECT source, sum(best) AS best FROM o GROUP BY source) SELECT b.source, round(CAST(fixed - best AS DOUBLE) / best, 6) AS regret FROM b JOIN s ON b.source = s.source",
-    "q67_prefix_selector": _SEL + ", u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY 4 * @DIV{bits|4}, mode) AS r2 FROM c) SELECT u.source, round(CAST(sum(u.bits + 3 - o.best) AS DOUBLE) / sum(o.best), 6) AS regret FROM u JOIN o ON u.doc_id = o.doc_id WHERE u.r2 = 1 GROUP BY u.source",
-    "q68_causal_selector": _SEL + ", l AS (SELECT *, lag(bits * 1.0 / n, 1) OVER (PARTITION BY source, mode ORDER BY doc_id) * n AS u FROM c), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(coalesce(u, 0), 6), mode) AS r2 FROM l) SELECT s.source, round(CAST(sum(s.bits - o.best) AS DOUBLE) / sum(o.best), 6) AS regret FROM s JOIN o ON s.doc_id = o.doc_id WHERE r2 = 1 GROUP BY s.source",
-    "q69_2eps_bound": _SEL + ", u AS (SELECT *, 4 * @DIV{bits|4} AS u FROM c), e AS (SELECT doc_id, max(abs(u - bits)) AS eps FROM u GROUP BY doc_id), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY u, mode) AS r2 FROM u) SELECT s.doc_id, s.bits <= o.best + 2 * e.eps AS holds FROM s JOIN o ON s.doc_id = o.doc_id JOIN e ON s.doc_id = e.doc_id WHERE r2 = 1",
+    "q67_prefix_selector": _SEL + ", u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY u, mode) AS r2 FROM c) SELECT u.source, round(CAST(sum(u.bits + 3 - o.best) AS DOUBLE) / sum(o.best), 6) AS regret FROM u JOIN o ON u.doc_id = o.doc_id WHERE u.r2 = 1 GROUP BY u.source",
+    "q68_causal_selector": _SEL + ", l AS (SELECT *, CAST(lag(bits, 1) OVER w AS DOUBLE) / lag(n, 1) OVER w * n AS v FROM c WINDOW w AS (PARTITION BY source, mode ORDER BY doc_id)), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(coalesce(v, 0), 6), mode) AS r2 FROM l) SELECT s.source, round(CAST(sum(s.bits - o.best) AS DOUBLE) / sum(o.best), 6) AS regret FROM s JOIN o ON s.doc_id = o.doc_id WHERE r2 = 1 GROUP BY s.source",
+    "q69_2eps_bound": _SEL + ", u AS (SELECT * FROM c), e AS (SELECT doc_id, max(abs(u - bits)) AS eps FROM u GROUP BY doc_id), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY u, mode) AS r2 FROM u) SELECT s.doc_id, s.bits <= o.best + 2 * e.eps AS holds FROM s JOIN o ON s.doc_id = o.doc_id JOIN e ON s.doc_id = e.doc_id WHERE r2 = 1",
     "q65b_winner_table": _SEL + " SELECT source, CAST(mode AS BIGINT) AS mode, count(*) AS wins FROM rk WHERE rk = 1 GROUP BY source, mode",
     "q78_iid_rate_function": "WITH t AS (SELECT id, id * 0.05 AS t FROM @IDS{1200}), l AS (SELECT t, log2(0.5 * power(0.5, -t) + 0.25 * power(0.25, -t) + 0.15 * power(0.15, -t) + 0.1 * power(0.1, -t)) AS lam FROM t), r AS (SELECT id, 1.9 + id * 0.1 AS rate FROM @IDS{10}) SELECT CAST(id AS BIGINT) AS id, round(max(t * rate - lam), 6) AS e FROM r CROSS JOIN l GROUP BY id",
     "q79_gumbel_norming": "SELECT CAST(id AS BIGINT) AS m, round(sqrt(2 * ln(id)), 6) AS a, round(sqrt(2 * ln(id)) - (ln(ln(id)) + ln(4 * pi())) / (2 * sqrt(2 * ln(id))), 6) AS b FROM @IDS{1025} WHERE id >= 3",
