@@ -156,3 +156,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     sums = np.zeros(len(data) + 1, U)
     np.cumsum(_MIXED[data] * up[:-1], dtype=U, out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def by_number(to: np.ndarray):
+    """Each number that occurs, with the places where it does, in order."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.diff(to[order], prepend=np.iinfo(np.int64).min))
+    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist()):
+        yield int(to[order[a]]), order[a:b]

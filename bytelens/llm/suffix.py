@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, flat, pieces, scratch, span_hashes, table
+from .common import U, by_number, flat, pieces, scratch, span_hashes, table
 
 SPAN = 50
 GRAM = 16
@@ -254,14 +254,6 @@ def _to_bytes(t: pa.RecordBatch) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-def _by_reducer(to: np.ndarray):
-    """Each reducer with the numbers of its anchors, in order."""
-    order = np.argsort(to, kind="stable")
-    cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
-    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist()):
-        yield int(to[order[a]]), order[a:b]
-
-
 def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``doc_id`` and ``keep`` columns with n_bytes, n_removed, n_spans and kept (the bytes that remain)."""
     keep = [c for c in dict.fromkeys(["doc_id", *keep]) if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
@@ -301,7 +293,7 @@ def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
                 _, data, _, doc, first, last, p, g = unit(batch.column("a")[i], batch.column("x")[i])
                 c = span_hashes(data, first, last + SPAN) + (p - first).astype(U) * U(0x9E3779B97F4A7C15)
                 out = {"r": [], "u": [], "a": [], "c": [], "d": []}
-                for r, here in _by_reducer(reducer(g)):
+                for r, here in by_number(reducer(g)):
                     for k, v in zip(out, (r, batch.column("u")[i].as_py(), _four(g[here]), c[here].tobytes(), _pack(np.diff(doc[here], prepend=0)))):
                         out[k].append(v)
                 yield pa.RecordBatch.from_pydict(out, pa.schema([("r", pa.int64()), ("u", pa.int64())] + [(c, pa.binary()) for c in "acd"]))
@@ -337,10 +329,10 @@ def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
     def tell(key, t, answers):
         _, data, _, doc, first, last, _, g = unit(t.column("a")[0], t.column("x")[0])
         to = reducer(g)
-        asked = np.flatnonzero(codes(dict(_by_reducer(to)), answers, len(to)) == 2)
+        asked = np.flatnonzero(codes(dict(by_number(to)), answers, len(to)) == 2)
         first, last, g, doc = first[asked], last[asked], g[asked], doc[asked]
         out = {"r": [], "u": [], "a": [], "d": [], "n": [], "x": []}
-        for r, here in _by_reducer(to[asked]):
+        for r, here in by_number(to[asked]):
             size = last[here] + SPAN - first[here]
             place = np.repeat(first[here] - np.cumsum(size) + size, size) + np.arange(size.sum())
             for k, v in zip(out, (r, key[0].as_py(), _four(g[here]), _pack(doc[here]), _pack(size), _pack(data[place]))):
@@ -368,7 +360,7 @@ def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def finish(key, t, answers):
         t, data, off, _, first, last, _, g = unit(t.column("a")[0], t.column("x")[0])
-        places = dict(_by_reducer(reducer(g)))
+        places = dict(by_number(reducer(g)))
         code = codes(places, answers, len(g))
         step = np.zeros(len(data) + 1, np.int32)
         whole = code == 1
