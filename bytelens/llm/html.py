@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*[^>]*)(?:>|\Z)", re.S)
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "button", "object", "head"}
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -30,12 +30,14 @@ BLOCKS = set(
 )
 CONTAINERS = set("article aside blockquote details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
 BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+#: Names that always mark boilerplate, names that often do, and parts of names that say nothing.
 BOILER_WORDS = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice gdpr "
-    "popup modal newsletter subscribe subscription signup login sidebar sidenav side menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer masthead topbar toolbar share sharing social related recommended comment comments reply replies respond disqus widget "
-    "form search pagination pager copyright disclaimer contentinfo complementary alert".split()
+    "ad ads advert adverts advertisement advertising sponsored cookie cookies consent gdpr popup modal newsletter signup login "
+    "sidebar sidenav nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar "
+    "comment comments reply replies respond disqus pagination pager copyright disclaimer contentinfo complementary".split()
 )
+HINT_WORDS = set("sponsor promo promotion banner notice subscribe subscription side menu share sharing social related recommended widget form search alert".split())
+PLAIN_WORDS = set("box bar list wrapper wrap container section block area top bottom left right item items link links button buttons icon icons inner outer col row head header body content main site page the and of mobile desktop sticky fixed primary secondary inline text title module panel region group js is has".split())
 #: Classes of an article that is a comment or a teaser; not those that say whether it has comments.
 ARTICLE_WORDS = set("comment comments reply replies respond teaser teasers related recommended promo sponsored advert advertisement ad ads".split())
 ARTICLE_STATES = re.compile(r"^(?:has|no|with|without|allow)\b|\b(?:open|closed|count|enabled|disabled|on|off)$")
@@ -63,16 +65,23 @@ SHAPES = (
     (3, 0.0, 4, 0.7, 2, 0.0, 0),
     (9, 1.0, 3, 0.0, 2, 1.0, 0),
     (1, 0.0, 1, 1.0, 3, 0.0, 0),
+    (2, 1.0, 2, 1.0, 0, 0.0, 0),
+    (2, 1.0, 40, 0.0, 2, 1.0, 0),
+    (6, 1.0, 30, 0.0, 35, 0.0, 0),
+    (30, 0.9, 50, 0.0, 20, 0.0, 0),
+    (2, 1.0, 0, 0.0, 45, 0.0, 0),
 )
-#: Where a block can stand: in an article, in boilerplate, most text of the page in articles.
-STANDS = ((1, 0, 1), (1, 0, 0), (1, 1, 1), (1, 1, 0), (0, 1, 1), (0, 0, 1), (0, 1, 0), (0, 0, 0))
+#: Where a block can stand: in an article, in boilerplate (1: by names that often mark it, 2: for sure), most text of the page in articles.
+STANDS = tuple((article, boiler, has) for article in (1, 0) for boiler in (2, 1, 0) for has in (1, 0))
 
 
 def _label(shape, article: int, boiler: int, has_article: int) -> int:
-    """In an article that is the page's text short blocks count too, but not links; beside it only long text does."""
+    """In an article that is the page's text short blocks count too, but not links; beside it, and under doubtful names, only long text does."""
     words, links, label = shape[0], shape[1], shape[6]
-    if boiler:
+    if boiler == 2:
         return 0
+    if boiler == 1:
+        return int(label and words >= 25 and article >= has_article)
     if not has_article:
         return label
     return int(links < 0.5) if article else int(label and words >= 25)
@@ -82,7 +91,7 @@ def _label(shape, article: int, boiler: int, has_article: int) -> int:
 LABELLED = tuple((*shape[:6], *place, _label(shape, *place)) for place in STANDS for shape in SHAPES)
 
 
-def grow(rows: np.ndarray, depth: int = 6):
+def grow(rows: np.ndarray, depth: int = 8):
     """A CART tree by Gini impurity: (feature, threshold, left, right), or a leaf's label."""
     y = rows[:, -1]
     if depth == 0 or y.min() == y.max():
@@ -109,27 +118,32 @@ def classify(tree, block) -> int:
     return tree
 
 
-def _marked(tag: str, attributes: str, in_article: bool) -> bool:
+def _marked(tag: str, attributes: str, in_article: bool) -> int:
+    """2: boilerplate for sure; 1: by its names perhaps; 0: not. A name counts if all of its parts do, but for those that say nothing."""
     if tag in BOILER_TAGS or (tag == "header" and not in_article):
-        return True
+        return 2
     if not attributes or tag in ("main", "body", "html"):
-        return False
+        return 0
+    found = 2 if HIDDEN.search(attributes) else 0
     for m in HINT.finditer(attributes):
         if tag == "article":
             names = [re.sub(r"[^a-z0-9]+", " ", n).strip() for n in (m[1] or m[2] or m[3] or "").lower().split()]
             if any(ARTICLE_WORDS.intersection(n.split()) and not ARTICLE_STATES.search(n) for n in names):
-                return True
-        elif BOILER_WORDS.intersection(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return bool(HIDDEN.search(attributes))
+                return 2
+            continue
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = set(re.split(r"[^a-z0-9]+", name)) - PLAIN_WORDS - {""}
+            if parts and parts <= BOILER_WORDS | HINT_WORDS:
+                found = max(found, 2 if parts & BOILER_WORDS else 1)
+    return found
 
 
 def blocks(page: str | None) -> list[tuple[str, int, float, int, int]]:
-    """(text, words, link density, in an article, in boilerplate) of each flat block with text."""
+    """(text, words, link density, in an article, in boilerplate: 2 for sure, 1 perhaps) of each flat block with text."""
     page = page or ""
     out, text, linked = [], [], 0
-    stack: list[tuple[str, bool]] = []
-    in_link, article, boiler, at = False, 0, 0, 0
+    stack: list[tuple[str, int]] = []
+    in_link, article, boiler, at = False, 0, [0, 0, 0], 0
 
     def flush():
         nonlocal text, linked
@@ -137,7 +151,7 @@ def blocks(page: str | None) -> list[tuple[str, int, float, int, int]]:
             whole = " ".join(_html.unescape("".join(text)).split())
             if whole:
                 n = len(whole.split())
-                out.append((whole, n, min(1.0, linked / n), int(article > 0), int(boiler > 0)))
+                out.append((whole, n, min(1.0, linked / n), int(article > 0), 2 if boiler[2] else int(boiler[1] > 0)))
         text, linked = [], 0
 
     def add(s: str):
@@ -170,25 +184,25 @@ def blocks(page: str | None) -> list[tuple[str, int, float, int, int]]:
         elif tag in ("br", "wbr"):
             add(" ")
         if tag not in BLOCKS:
-            if not closing and _marked(tag, m[3], article > 0) and tag in ("span", "label", "small"):
+            if not closing and tag in ("span", "label", "small") and _marked(tag, m[3], article > 0) == 2:
                 stack_tag = re.compile(rf"</{tag}\s*>|(?=<(?:/?(?:{'|'.join(sorted(BLOCKS))}))\b)|\Z", re.I).search(page, at)
                 at = stack_tag.end()
             continue
         flush()
         in_link = False
-        if not closing and tag == "p" and _marked(tag, m[3], article > 0):
+        if not closing and tag == "p" and _marked(tag, m[3], article > 0) == 2:
             end = re.compile(rf"</p\s*>|(?=<(?:/?(?:{'|'.join(sorted(BLOCKS))}))\b)|\Z", re.I).search(page, at)
             at = end.end()
         elif tag in CONTAINERS:
             if not closing:
                 mark = _marked(tag, m[3], article > 0)
                 stack.append((tag, mark))
-                boiler += mark
+                boiler[mark] += 1
                 article += tag in ("article", "main")
             elif any(t == tag for t, _ in stack):
                 while True:
                     t, mark = stack.pop()
-                    boiler -= mark
+                    boiler[mark] -= 1
                     article -= t in ("article", "main")
                     if t == tag:
                         break
@@ -198,7 +212,7 @@ def blocks(page: str | None) -> list[tuple[str, int, float, int, int]]:
 
 def main_text(page: str | None, tree) -> str:
     found = blocks(page)
-    has = int(2 * sum(b[1] for b in found if b[3] and not b[4]) > sum(b[1] for b in found if not b[4]))
+    has = int(2 * sum(b[1] for b in found if b[3] and b[4] < 2) > sum(b[1] for b in found if b[4] < 2))
     none = ("", 0, 0.0, 0, 0)
     kept = []
     for i, (text, n, links, article, boiler) in enumerate(found):
