@@ -6,8 +6,9 @@ of both. Kept K-grams of the documents are looked up among those of the items, a
 extended along its diagonal to all runs of equal words; runs of ``WINDOW`` words or more are hits. Items
 shorter than a window are one window: all their words, looked up by one hash of all.
 
-The benchmark's index is built in blocks of ``BLOCK_BYTES`` of item text at most, each broadcast, so what a worker
-holds has a fixed bound and a benchmark of any size is compared whole; documents are never shuffled.
+A benchmark of up to ``BLOCK_BYTES`` of text is indexed as one block and broadcast: a broadcast join of the fingerprints. Of a larger one the kept
+K-grams are first joined, by shuffle, with those of the documents, and only items that met (and items shorter than a window) are indexed, in blocks of
+``BLOCK_BYTES`` at most, of which a worker holds one at a time. Documents themselves are never shuffled.
 
 Defined cases: null texts have no words; an item without words is never hit; a null item_id reads
 ``null``; equal item_ids count once; document rows are handled one by one (null or repeated ids
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, flat, lowered, mix64, pieces, span_hashes, table, words
+from .common import U, flat, lowered, mix64, pieces, scratch, span_hashes, table, words
 
 WINDOW = 10
 K = 5
@@ -116,10 +117,45 @@ class Index:
         return np.cumsum(step[:-1]) > 0, met
 
 
+def _fingerprints(texts: DataFrame, window: int) -> DataFrame:
+    """(id, g): the kept K-grams of each row's text; g is null for a text of fewer words than a window."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                data, off = flat(part.column("text"))
+                data = lowered(data)
+                starts, ends, first = words(data, off, True)
+                at, g = _kept(span_hashes(data, starts, ends), first, window)
+                row = np.searchsorted(first, at, side="right") - 1
+                pairs = np.unique(np.stack([row.astype(U), g]), axis=1)
+                short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < window))
+                ids = part.column("id").take(pa.array(np.concatenate([pairs[0].astype(np.int64), short])))
+                grams = pa.concat_arrays([pa.array(pairs[1].view(np.int64)), pa.nulls(len(short), pa.int64())])
+                yield pa.RecordBatch.from_arrays([ids, grams], ["id", "g"])
+
+    return texts.mapInArrow(run, "id long, g long")
+
+
+def meeting(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The items that share a kept K-gram with a document, and those shorter than a window."""
+    key = F.xxhash64("item_id", "text")
+    items = _fingerprints(bench.select(key.alias("id"), "text"), window)
+    seen = _fingerprints(docs.select(F.lit(0).cast("long").alias("id"), "text"), window).select("g").distinct()
+    some = items.join(seen, "g").select("id").unionAll(items.filter("g IS NULL").select("id")).distinct()
+    return bench.withColumn("_key", key).join(some.withColumnRenamed("id", "_key"), "_key").drop("_key")
+
+
+def extent(bench: DataFrame) -> tuple[int, int]:
+    """Bytes of text and rows."""
+    r = bench.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    return r["b"] or 0, r["n"]
+
+
 def index_blocks(bench: DataFrame, window: int = WINDOW):
     """The benchmark's index in blocks of bounded size, each made from its own small collect."""
-    size = bench.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    blocks = max(1, -(-(size["b"] or 0) // BLOCK_BYTES), -(-size["n"] // 1_000_000))
+    size, items = extent(bench)
+    blocks = max(1, -(-size // BLOCK_BYTES), -(-items // 1_000_000))
     pick = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for k in range(blocks):
         rows = bench.filter(pick == k) if blocks > 1 else bench
@@ -130,6 +166,8 @@ def index_blocks(bench: DataFrame, window: int = WINDOW):
 def mark(docs: DataFrame, bench: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
     """``keep`` columns with n_words, spans (hit words as [from, to)), and items (sorted ids)."""
     spark = docs.sparkSession
+    if extent(bench)[0] > BLOCK_BYTES:
+        bench = scratch(meeting(docs, bench.select("item_id", "text"), window), "benchmark")
     shared = [spark.sparkContext.broadcast(x) for x in index_blocks(bench, window)]
     keep = [c for c in dict.fromkeys(keep) if c not in ("n_words", "spans", "items")]
     d = docs.select(*dict.fromkeys([*keep, "text"]))

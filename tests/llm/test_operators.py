@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from bytelens.llm import licenses, registry
+from bytelens.llm import decontaminate, licenses, registry
 from bytelens.llm import simhash as simhash_module
 from bytelens.llm.html import grow, main_text, LABELLED
 from bytelens.llm.mixing import targets
@@ -155,7 +155,13 @@ def test_top_k(spark, here):
     same(got(spark, here, "op3_top_k"), out, ("query_id", "rank", "vec_id", "score"))
 
 
-def test_decontaminate(spark, here):
+@pytest.mark.parametrize("most", [None, 100])
+def test_decontaminate(spark, here, most, monkeypatch):
+    if most:  # more than one block: fingerprints meet by shuffle
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", most)
+        bench = spark.createDataFrame([*BENCH, (9, " ".join(f"never{i}" for i in range(30)))], "item_id long, text string")
+        left = decontaminate.meeting(spark.read.parquet(f"{here}/documents.parquet"), bench)
+        assert sorted(str(r["item_id"]) for r in left.collect()) == ["1", "2", "5", "None"]
     out = []
     for i, t, _, _ in ROWS:
         w, hit, items = alnum_words(t), set(), set()
