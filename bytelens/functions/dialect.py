@@ -83,6 +83,8 @@ _MACROS = {
         "POP": r"CAST(bit_count(\1) AS BIGINT)",
         "XOR": r"((\1) ^ (\2))",
         "SHR": r"shiftright(\1, \2)",
+        "JSON": r"get_json_object(\1, '\2')",
+        "HEAD": r"element_at(split(\1, '-'), 1)",
         "HEXBYTE": r"lpad(hex(\1), 2, '0')",
         "BYTEOF": r"\1",
         "UTF": r"encode(\1, 'UTF-8')",
@@ -103,6 +105,8 @@ _MACROS = {
         "POP": r"CAST(bit_count(\1) AS BIGINT)",
         "XOR": r"xor(\1, \2)",
         "SHR": r"((\1) >> (\2))",
+        "JSON": r"json_extract_string(\1, '\2')",
+        "HEAD": r"split_part(\1, '-', 1)",
         "HEXBYTE": r"\1",
         "BYTEOF": r"CAST('0x' || \1 AS BIGINT)",
         "UTF": r"encode(\1)",

@@ -111,3 +111,63 @@ def tail_probability(spark: SparkSession, p: list[float], steps: int, rate: floa
 
     w = spark.range(paths).mapInPandas(run, "w double")
     return w.agg(F.avg("w").alias("tail"), F.sum((F.col("w") > 0).cast("long")).alias("hits"))
+
+
+class Grammar:
+    """An unambiguous grammar in Chomsky form: counts of words by length, and words as numbers.
+
+    ``pairs``: (symbol, left, right); ``leaves``: (symbol, letter).
+    """
+
+    def __init__(self, pairs: list[tuple[str, str, str]], leaves: list[tuple[str, str]], most: int):
+        self.pairs, self.leaves = pairs, leaves
+        symbols = {s for rule in pairs for s in rule} | {s for s, _ in leaves}
+        self.words = {s: [0] * (most + 1) for s in symbols}
+        for s, _ in leaves:
+            self.words[s][1] += 1
+        for n in range(2, most + 1):
+            for s, left, right in pairs:
+                self.words[s][n] += sum(self.words[left][k] * self.words[right][n - k] for k in range(1, n))
+
+    def unrank(self, symbol: str, n: int, number: int) -> str:
+        """The word with a number, in order of rules and of the left part's length."""
+        if n == 1:
+            return [letter for s, letter in self.leaves if s == symbol][number]
+        for s, left, right in self.pairs:
+            for k in range(1, n if s == symbol else 1):
+                here = self.words[left][k] * self.words[right][n - k]
+                if number < here:
+                    a, b = divmod(number, self.words[right][n - k])
+                    return self.unrank(left, k, a) + self.unrank(right, n - k, b)
+                number -= here
+        raise IndexError("no such word")
+
+    def rank(self, symbol: str, word: str) -> int | None:
+        """The number of a word; None if the symbol does not derive it."""
+        known: dict[tuple[str, int, int], int | None] = {}
+
+        def find(s: str, a: int, b: int) -> int | None:
+            if (s, a, b) not in known:
+                known[s, a, b] = self._rank(s, word, a, b, find)
+            return known[s, a, b]
+
+        return find(symbol, 0, len(word))
+
+    def _rank(self, symbol, word, a, b, find):
+        if b - a == 1:
+            letters = [letter for s, letter in self.leaves if s == symbol]
+            return letters.index(word[a]) if word[a] in letters else None
+        before = 0
+        for s, left, right in self.pairs:
+            for k in range(1, b - a if s == symbol else 1):
+                others = self.words[right][b - a - k]
+                x = find(left, a, a + k) if others and self.words[left][k] else None
+                y = find(right, a + k, b) if x is not None else None
+                if y is not None:
+                    return before + x * others + y
+                before += self.words[left][k] * others
+        return None
+
+
+#: Words of matched brackets.
+BRACKETS = ([("S", "A", "B"), ("S", "X", "S"), ("S", "Y", "B"), ("S", "Z", "S"), ("X", "A", "B"), ("Y", "A", "S"), ("Z", "Y", "B")], [("A", "("), ("B", ")")])

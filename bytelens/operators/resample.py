@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import OrderedDict
 from statistics import NormalDist
 
@@ -43,6 +44,22 @@ def bca_by(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.select(key, value).groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, lo double, hi double, method string")
 
 
+def time_under_repetition(run, repeats: int = 5, warmup: int = 1, resamples: int = 1000, seed: int = 0) -> dict:
+    """Seconds of each measured call after some that are not, their mean, and a percentile interval of the mean."""
+    if repeats < 2:
+        raise ValueError("an interval needs two calls at least")
+    for _ in range(warmup):
+        run()
+    times = np.empty(repeats)
+    for k in range(repeats):
+        began = time.perf_counter()
+        run()
+        times[k] = time.perf_counter() - began
+    means = times[np.random.default_rng(seed).integers(0, repeats, (resamples, repeats))].mean(axis=1)
+    lo, hi = np.quantile(means, [0.025, 0.975])
+    return {"times": times.tolist(), "mean": float(times.mean()), "lo": float(lo), "hi": float(hi)}
+
+
 def lru_hits(requests: list[int], capacity: int) -> int:
     cache: OrderedDict[int, None] = OrderedDict()
     hits = 0

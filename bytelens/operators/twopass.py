@@ -1,6 +1,6 @@
 """Two-pass coding: counts of a whole corpus, pruned contexts, a serialised model, frozen coding.
 
-Counting and pruning are joins over (corpus, order, context, byte); a context is an integer, its newest byte in
+Counting and pruning are joins over (corpus, order, context, byte); a context is an integer of up to eight bytes, its newest byte in
 the low eight bits, so the next shorter context is a mask. Counts are not capped. A model is kept where
 it saves more than it costs; models are as large as what they save, so one fits a task.
 """
@@ -12,9 +12,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bytelens.sources.scratch import settled
+
 from .codec import Counts, decode_block, encode_block
 
-MOST_WIDTH = 6
+MOST_WIDTH = 8
+#: Widths that are tried, and the memory in MB that counting may take.
+WIDTHS, BUDGET = range(2, MOST_WIDTH + 1), 2048.0
+
+
+def widest(n_bytes: int) -> int:
+    """The largest width whose counts, at some 12 MB a MB of text times the width squared, stay within the budget; 2 at least."""
+    if n_bytes <= 0:
+        return MOST_WIDTH
+    return int(max(2, min(MOST_WIDTH, (BUDGET * 1e6 / (12 * n_bytes)) ** 0.5)))
 
 
 def gram_counts(streams: DataFrame, width: int) -> DataFrame:
@@ -26,20 +37,21 @@ def gram_counts(streams: DataFrame, width: int) -> DataFrame:
         for b in batches:
             corpora: dict = {}
             for corpus, text in zip(b.column("corpus").to_pylist(), b.column("text").to_pylist()):
-                corpora.setdefault(corpus, []).append(np.frombuffer((text or "").encode(), np.uint8).astype(np.int64))
+                corpora.setdefault(corpus, []).append(np.frombuffer((text or "").encode(), np.uint8).astype(np.uint64))
             for corpus, texts in corpora.items():
                 for o in range(width + 1):
                     long = [t for t in texts if len(t) > o]
                     if not long:
                         continue
-                    grams = np.concatenate([sum(t[k : len(t) - o + k] << 8 * (o - k) for k in range(o + 1)) for t in long])
-                    gram, c = np.unique(grams, return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"corpus": pa.array([corpus] * len(gram), pa.string()), "ord": pa.array([o] * len(gram), pa.int32()), "gram": gram, "c": c.astype(np.int64)})
+                    ctx = np.concatenate([sum((t[k : len(t) - o + k] << np.uint64(8 * (o - 1 - k)) for k in range(o)), np.zeros(len(t) - o, np.uint64)) for t in long])
+                    ctx, number = np.unique(ctx, return_inverse=True)
+                    gram, c = np.unique(number.astype(np.int64) << 8 | np.concatenate([t[o:] for t in long]).astype(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"corpus": pa.array([corpus] * len(gram), pa.string()), "ord": pa.array([o] * len(gram), pa.int32()), "ctx": ctx[gram >> 8].view(np.int64), "sym": gram & 255, "c": c.astype(np.int64)})
 
-    parts = streams.select(F.col("corpus").cast("string"), "text").mapInArrow(run, "corpus string, ord int, gram long, c long")
-    all_ = parts.groupBy("corpus", "ord", "gram").agg(F.sum("c").alias("c"))
+    parts = streams.select(F.col("corpus").cast("string"), "text").mapInArrow(run, "corpus string, ord int, ctx long, sym long, c long")
+    all_ = parts.groupBy("corpus", "ord", "ctx", "sym").agg(F.sum("c").alias("c"))
     one = Window.partitionBy("corpus", "ord", "ctx")
-    return all_.select("corpus", "ord", F.shiftright("gram", 8).alias("ctx"), F.col("gram").bitwiseAND(255).alias("sym"), "c").withColumn("t", F.sum("c").over(one))
+    return all_.select("corpus", "ord", "ctx", "sym", "c").withColumn("t", F.sum("c").over(one))
 
 
 def varint_size(x: Column) -> Column:
@@ -51,8 +63,11 @@ def _bits(c, t) -> Column:
 
 
 def prune(counts: DataFrame, width: int) -> DataFrame:
-    """The contexts that save more bits over their nearest kept ancestor than they take in the model; order 0 stays."""
-    counts = counts.persist()
+    """The contexts that save more bits over their nearest kept ancestor than they take in the model; order 0 stays.
+
+    What is kept of an order does not depend on longer contexts: a smaller width keeps the same up to its order.
+    """
+    counts = settled(counts, "counts")
     kept = counts.filter("ord = 0")
     near = kept.select("corpus", "ctx").distinct().select("*", F.lit(0).alias("up_ord"), F.lit(0).cast("long").alias("up"))
     for o in range(1, width + 1):
@@ -64,7 +79,8 @@ def prune(counts: DataFrame, width: int) -> DataFrame:
             F.sum(F.col("c") * (_bits("uc", "ut") - _bits("c", "t"))).alias("gain"),
             (varint_size(F.col("ctx")) + varint_size(F.count(F.lit(1))) + F.sum(varint_size(F.col("step")) + varint_size(F.col("c")))).alias("size"),
         )
-        x = x.select("*", (F.col("gain") > 8 * F.col("size")).alias("keep")).persist()
+        x = x.select("*", (F.col("gain") > 8 * F.col("size")).alias("keep"))
+        x = settled(x, "gains")
         near = x.select("corpus", "ctx", F.when(F.col("keep"), o).otherwise(F.col("up_ord")).alias("up_ord"), F.when(F.col("keep"), F.col("ctx")).otherwise(F.col("up")).alias("up"))
         stay = x.filter("keep").select("corpus", "ctx")
         kept = kept.unionByName(here.drop("suffix").join(stay, ["corpus", "ctx"], "left_semi"))
@@ -148,7 +164,7 @@ def models(kept: DataFrame, width: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         model: dict = {}
         for o, ctx, sym, c in zip(*(t.column(x).to_pylist() for x in ("ord", "ctx", "sym", "c"))):
-            model.setdefault(o, {}).setdefault(ctx, {})[sym] = c
+            model.setdefault(o, {}).setdefault(ctx % (1 << 64), {})[sym] = c  # eight bytes are a negative long
         return pa.table({"corpus": pa.array([t.column("corpus")[0].as_py()], pa.string()), "model": pa.array([serialise(width, model)], pa.binary())})
 
     return kept.groupBy("corpus").applyInArrow(run, "corpus string, model binary")

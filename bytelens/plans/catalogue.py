@@ -7,9 +7,9 @@ from functools import partial
 from bytelens.functions.dialect import duck_sql, spark_sql
 
 from . import bytes as byte_plans
-from . import coded, records
+from . import coded, records, studies
 
-_SQL = {**byte_plans.SQL, **records.SQL}
+_SQL = {**byte_plans.SQL, **records.SQL, **studies.SQL}
 
 
 def _run(query: str, spark, sf_dir: str):

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelens.functions.dialect import spread
+from bytelens.functions.dialect import duck_sql, spread
 from bytelens.operators import codec, enumerative, mixing, phrases, resample, twopass
 from bytelens.sources.corpora import blocks
+from bytelens.sources.scratch import settled
 from bytelens.streaming import blocks as streams
 
 BLOCK = 128
@@ -79,9 +83,13 @@ def q74b_cm_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes[0].unionByName(sizes[1]).unionByName(sizes[2]).groupBy("predictor").agg(F.sum("n").cast("long").alias("coded"), F.sum("size").alias("bytes"))
 
 
-def _frozen(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
+def _kept(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
     items = spread(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.lit("benchmark").alias("corpus"), "text"))
-    kept = twopass.prune(twopass.gram_counts(items, width), width)
+    return settled(twopass.prune(twopass.gram_counts(items, width), width), "kept")
+
+
+def _frozen(spark: SparkSession, sf_dir: str, width: int, kept: DataFrame | None = None) -> DataFrame:
+    kept = _kept(spark, sf_dir, width) if kept is None else kept.filter(F.col("ord") <= width)
     return twopass.pack_frozen(_blocks(spark, sf_dir).withColumn("corpus", F.lit("benchmark")), kept, width)
 
 
@@ -97,9 +105,11 @@ def q33b_two_pass_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q32_auto_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model and payload of each width; the smallest sum wins, the smaller width of equals."""
-    rows = [_frozen(spark, sf_dir, w).agg((F.sum(F.octet_length("payload")) + F.max("model_size")).cast("long").alias("bytes")).select(F.lit(w).alias("width"), "bytes") for w in (1, 2, 3)]
-    all_ = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    """Model and payload of each width that memory allows; the smallest sum wins, the smaller width of equals."""
+    size = spark.read.parquet(f"{sf_dir}/benchmark.parquet").agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    kept = _kept(spark, sf_dir, twopass.widest(size))
+    rows = [_frozen(spark, sf_dir, w, kept).agg((F.sum(F.octet_length("payload")) + F.max("model_size")).cast("long").alias("bytes")).select(F.lit(w).alias("width"), "bytes") for w in twopass.WIDTHS if w <= twopass.widest(size)]
+    all_ = reduce(DataFrame.unionByName, rows)
     best = all_.agg(F.min(F.struct("bytes", "width")).alias("b"))
     return all_.crossJoin(best).select("width", "bytes", (F.col("width") == F.col("b.width")).alias("chosen"))
 
@@ -153,9 +163,58 @@ def q112_huffman_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("user_id", "symbols", "n", F.round("mean_bits", 6).alias("mean_bits"))
 
 
+def q130_grammar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of matched brackets by length; some are numbered and read back."""
+
+    def run(batches):
+        g = enumerative.Grammar(*enumerative.BRACKETS, 20)
+        for b in batches:
+            n = [i + 1 for i in b.column("id").to_pylist()]
+            words = [g.words["S"][2 * k] for k in n]
+            back = [all(g.rank("S", g.unrank("S", 2 * k, x)) == x for x in range(0, w, max(1, w // 50))) for k, w in zip(n, words)]
+            yield pa.RecordBatch.from_pydict({"n": pa.array(n, pa.int64()), "words": pa.array(words, pa.int64()), "round_trip": back})
+
+    return spark.range(0, 10).mapInArrow(run, "n long, words long, round_trip boolean")
+
+
+def _traced(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            found = [mixing.trace(x, mixing.Mixed(3)) for x in b.column("block").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "blk": b.column("blk"), "bits": pa.array([f[0] for f in found], pa.float64()), "digest": pa.array([f[1] for f in found], pa.string())})
+
+    return _blocks(spark, sf_dir).repartition(parts, "id", "blk").mapInArrow(run, "id long, blk long, bits double, digest string")
+
+
+def q142_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of the mixing predictor on 8 and on 3 partitions: equal digests, and coded sizes next to the ideal ones."""
+    coded = codec.pack(_blocks(spark, sf_dir), 3, mixing.Mixed).select("id", "blk", "raw", F.octet_length("payload").alias("n"))
+    a, b = _traced(spark, sf_dir, 8), _traced(spark, sf_dir, 3).select("id", "blk", F.col("digest").alias("again"))
+    met = a.join(b, ["id", "blk"]).join(coded, ["id", "blk"])
+    near = (8 * F.col("n") <= F.col("bits") + 64) & ((8 * F.col("n") >= F.col("bits") - 16) | F.col("raw"))
+    return met.select(F.col("id").alias("item_id"), "blk", (F.col("digest") == F.col("again")).alias("same"), near.alias("near_ideal"))
+
+
+def q143_shipped_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights learned in two passes over each partition's blocks, averaged, shipped, and frozen while blocks are coded and read back."""
+
+    def learn(batches):
+        plain = [x for b in batches for x in b.column("block").to_pylist()]
+        if plain:
+            w = mixing.train_weights(plain[:8], 2)
+            yield pa.RecordBatch.from_pydict({"k": pa.array(range(w.size), pa.int32()), "w": pa.array(w.ravel())})
+
+    got = _blocks(spark, sf_dir).mapInArrow(learn, "k int, w long").groupBy("k").agg(F.avg("w").alias("w")).collect()
+    weights = np.zeros(3 * 256)
+    for r in got:
+        weights[r["k"]] = r["w"]
+    shared = spark.sparkContext.broadcast(np.rint(weights).astype(np.int64).reshape(3, 256))
+    return _roundtrip(spark, sf_dir, 2, lambda width: mixing.Frozen(width, shared.value))
+
+
 QUERIES = {f.__name__: f for f in (q70_codec_roundtrip, q71_archive_sizes, q72_read_verified, q73_tamper_detect, q65c_compressor_costs, q114_lz78_bits, q87_lru_hit_rate, q113_bca_interval,
-    q74_cm_roundtrip, q75_hashed_cm_roundtrip, q74b_cm_sizes, q33_two_pass_roundtrip, q33b_two_pass_fallback, q32_auto_width, q76_dictionary_roundtrip, q77_parse_saving, q88_tail_importance, q111_set_ranks, q112_huffman_length)}
-QUERIES |= {"q89_stream_event_counts": streams.stream_event_counts, "q90_stream_daily": streams.stream_hourly, "q91_dedupe_sink": streams.dedupe_sink}
+    q74_cm_roundtrip, q75_hashed_cm_roundtrip, q74b_cm_sizes, q33_two_pass_roundtrip, q33b_two_pass_fallback, q32_auto_width, q76_dictionary_roundtrip, q77_parse_saving, q88_tail_importance, q111_set_ranks, q112_huffman_length, q130_grammar_words, q142_conformance, q143_shipped_weights)}
+QUERIES |= {"q89_stream_event_counts": streams.stream_event_counts, "q90_stream_daily": streams.stream_hourly, "q91_dedupe_sink": streams.dedupe_sink, "q140_stream_block_bits": streams.stream_block_bits, "q141_stream_carried_bits": streams.stream_carried_bits}
 ORACLES = {
     "q70_codec_roundtrip": "WITH d AS (SELECT item_id, encode(text) AS b FROM benchmark), k AS (SELECT item_id, b, unnest(range((octet_length(b) + 127) // 128)) AS blk FROM d) SELECT item_id, blk, sha256(b[blk * 128 + 1 : blk * 128 + 128]) AS sha, true AS intact FROM k",
     "q72_read_verified": "SELECT item_id, sha256(encode(text)[101:160]) AS sha, true AS intact FROM benchmark WHERE octet_length(encode(text)) > 100",
@@ -165,6 +224,18 @@ ORACLES = {
     "q91_dedupe_sink": "SELECT DISTINCT event_id, user_id, event_type FROM events",
 }
 ORACLES["q74_cm_roundtrip"] = ORACLES["q75_hashed_cm_roundtrip"] = ORACLES["q70_codec_roundtrip"]
+ORACLES["q76_dictionary_roundtrip"] = ORACLES["q70_codec_roundtrip"].replace(", true AS intact", "").replace("127", "1023").replace("128", "1024")
 ORACLES["q33_two_pass_roundtrip"] = ORACLES["q70_codec_roundtrip"].replace(", true AS intact", "")
-ORACLES["q76_dictionary_roundtrip"] = ORACLES["q33_two_pass_roundtrip"].replace("127", "1023").replace("128", "1024")
 ORACLES["q111_set_ranks"] = "SELECT l_partkey, count(DISTINCT l_suppkey) AS n, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') AS suppliers FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY l_partkey"
+ORACLES["q130_grammar_words"] = "SELECT n, CAST(factorial(CAST(2 * n AS INT)) // (factorial(CAST(n AS INT)) * factorial(CAST(n + 1 AS INT))) AS BIGINT) AS words, true AS round_trip FROM (SELECT unnest(range(1, 11)) AS n) t"
+ORACLES["q142_conformance"] = "WITH k AS (SELECT item_id, unnest(range((octet_length(encode(text)) + 127) // 128)) AS blk FROM benchmark) SELECT item_id, blk, true AS same, true AS near_ideal FROM k"
+ORACLES["q143_shipped_weights"] = ORACLES["q70_codec_roundtrip"]
+ORACLES["q140_stream_block_bits"] = duck_sql("""WITH @BYTES, k AS (SELECT doc_id, i // 1024 AS blk, i % 1024 AS p, x FROM bb),
+w AS (SELECT doc_id, blk, p, count(*) OVER (PARTITION BY doc_id, blk, x ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM k)
+SELECT doc_id, blk, count(*) AS bytes, round(sum(log2(256 + 32 * p) - log2(1 + 32 * c)), 4) AS bits FROM w GROUP BY doc_id, blk""")
+ORACLES["q141_stream_carried_bits"] = duck_sql("""WITH @BYTES, w AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) - 1 AS t, row_number() OVER (PARTITION BY source, x ORDER BY doc_id, i) - 1 AS c FROM bb)
+SELECT source, round(sum(log2(256 + 32 * t) - log2(1 + 32 * c)), 2) AS bits, count(*) AS bytes FROM w WHERE source IS NOT NULL GROUP BY source""")
+ORACLES["q87_lru_hit_rate"] = """WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+p AS (SELECT *, lag(i) OVER (PARTITION BY user_id, event_type ORDER BY i) AS j FROM r),
+d AS (SELECT p.user_id, p.i, count(DISTINCT b.event_type) AS others FROM p LEFT JOIN r b ON b.user_id = p.user_id AND b.i > p.j AND b.i < p.i WHERE p.j IS NOT NULL GROUP BY p.user_id, p.i)
+SELECT p.user_id, count(*) AS requests, CAST(sum(CASE WHEN d.others < 3 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM p LEFT JOIN d ON p.user_id = d.user_id AND p.i = d.i GROUP BY p.user_id"""

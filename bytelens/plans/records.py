@@ -12,9 +12,10 @@ def _h(cols: str, table: str = "r") -> str:
 
 
 def _boot(n: int, stat: str, tag: str) -> str:
-    """``n`` resamples of whole orders, each taken as often as a Poisson(1) draw says; ``stat`` over w, v (cents), q and n."""
+    """``n`` resamples (twenty draws a hash) of whole orders, each taken as often as a Poisson(1) draw says; ``stat`` over w, v (cents), q and n."""
     return f"""WITH x AS (SELECT l_orderkey, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS v, CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS BIGINT) AS q, count(*) AS n FROM lineitem GROUP BY l_orderkey),
-u AS (SELECT b.id AS b, x.*, @SEED{{concat('{tag}:', CAST(b.id AS VARCHAR(20)), ':', CAST(l_orderkey AS VARCHAR(20)))}} % 10000 AS u FROM x CROSS JOIN @IDS{{{n}}} b),
+h AS (SELECT g.id AS g, x.*, @SEED{{concat('{tag}:', CAST(g.id AS VARCHAR(20)), ':', CAST(l_orderkey AS VARCHAR(20)))}} AS h FROM x CROSS JOIN @IDS{{{-(-n // 20)}}} g),
+u AS (SELECT g * 20 + j.id AS b, v, q, n, @DIV{{h * (40503 * (2 * j.id + 1) + 7919 * j.id * j.id)|1024}} % 10000 AS u FROM h CROSS JOIN @IDS{{20}} j),
 w AS (SELECT b, v, q, n, {POISSON} AS w FROM u),
 s AS (SELECT b, {stat} AS s FROM w GROUP BY b)"""
 

@@ -1,23 +1,43 @@
-"""Block streams with Structured Streaming: per-block measures and an idempotent sink."""
+"""Block streams with Structured Streaming: per-block measures, state across a stream, and an idempotent sink.
+
+Results go to Parquet, a folder a micro-batch: a batch that runs again overwrites its folder, so each counts once.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytelens.operators import bytecounts
+from bytelens.sources.corpora import blocks
+from bytelens.sources.scratch import shared_folder
+
+
+def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """Run a stream over what is there now and return its result: all rows, or the last batch's of a complete result."""
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/bytelens-{name}-{uuid.uuid4().hex}"
+    last: list[int] = []
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there now and return its result table."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+        last.append(number)
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema)
+    return rows.parquet(f"{base}/rows/batch={max(last)}") if mode == "complete" else rows.option("recursiveFileLookup", True).parquet(f"{base}/rows")
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table's folder as a stream of files (the table's own file only)."""
+    """A table's folder as a stream of files (the table's own only)."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
@@ -25,17 +45,48 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running counts per event type; the state is one row a type."""
     counts = read_stream(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
-    return drain(counts, "bytelens_event_counts", "complete")
+    return drain(counts, "event-counts", "complete")
 
 
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling windows over event time behind a watermark (an extension: complete output)."""
     hours = read_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return drain(hours, "bytelens_daily", "complete").select(F.col("window.start").alias("day"), "event_type", "n")
+    return drain(hours, "daily", "complete").select(F.col("window.start").alias("day"), "event_type", "n")
 
 
 def dedupe_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At-least-once input, each key once in the result."""
-    events = read_stream(spark, sf_dir, "events")
-    twice = events.unionByName(events).dropDuplicates(["event_id"]).select("event_id", "user_id", "event_type")
-    return drain(twice, "bytelens_deduped", "append")
+    """At-least-once input, each key once in the result; keys are forgotten a day after their event."""
+    events = read_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
+    twice = events.unionByName(events).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "event_type")
+    return drain(twice, "deduped", "append")
+
+
+def stream_block_bits(spark: SparkSession, sf_dir: str, size: int = 1024) -> DataFrame:
+    """Adaptive bits of every block of every document, each from empty state: nothing is held between rows of the stream."""
+    cut = blocks(read_stream(spark, sf_dir, "documents"), "doc_id", "text", size).withColumnRenamed("block", "text")
+    found = drain(bytecounts.adaptive(cut, ["id", "blk"]), "block-bits", "append")
+    return found.select(F.col("id").alias("doc_id"), "blk", F.col("len").alias("bytes"), F.round("b0", 4).alias("bits"))
+
+
+def carried_bits(stream: DataFrame, key: str, order: str) -> DataFrame:
+    """Adaptive order-0 bits of each key's texts so far; the state of a key is 256 counts and two sums."""
+
+    def run(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        counts, bits, n = (np.array(state.get[0], np.int64), state.get[1], state.get[2]) if state.exists else (np.zeros(256, np.int64), 0.0, 0)
+        rows = pd.concat(list(frames)).sort_values(order)
+        for text in rows["text"].dropna():
+            x = np.frombuffer(text.encode(), np.uint8).astype(np.int64)
+            seen = bytecounts._earlier(x) + counts[x]
+            bits += float((np.log2(256 + 32 * (n + np.arange(len(x)))) - np.log2(1 + 32 * seen)).sum())
+            counts += np.bincount(x, minlength=256)
+            n += len(x)
+        state.update((counts.tolist(), bits, n))
+        yield pd.DataFrame({key: [group[0]], "bits": [bits], "bytes": [n]})
+
+    return stream.select(key, order, "text").groupBy(key).applyInPandasWithState(run, f"{key} string, bits double, bytes long", "counts array<bigint>, bits double, n long", "update", "NoTimeout")
+
+
+def stream_carried_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits of each source as one stream whose counts go on from document to document."""
+    got = drain(carried_bits(read_stream(spark, sf_dir, "documents").filter("source IS NOT NULL"), "source", "doc_id"), "carried-bits", "update")
+    return got.groupBy("source").agg(F.max_by("bits", "bytes").alias("bits"), F.max("bytes").alias("bytes")).select("source", F.round("bits", 2).alias("bits"), "bytes")
