@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the mixing and scoring contracts: runs of anything but ASCII white space.
@@ -71,6 +71,19 @@ def spread(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 33)
 
 
+def running(counts: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """``counts`` with ``name``: the sum of ``value`` over the rows of the same ``keys`` with a smaller ``order`` (a long, unique a key).
+
+    Sums of stretches of 4096 numbers are added up first, so no task holds more of a key than a 4096th of its numbers or one stretch.
+    """
+    far, top = "_stretch", "_top"
+    counts = counts.withColumn(far, F.shiftright(F.col(order).cast("long"), 12))
+    tops = counts.groupBy(*keys, far).agg(F.sum(value).alias(top))
+    tops = tops.withColumn(top, F.sum(top).over(Window.partitionBy(*keys).orderBy(far)) - F.col(top))
+    inside = F.sum(value).over(Window.partitionBy(*keys, far).orderBy(order)) - F.col(value)
+    return counts.withColumn(name, inside).join(tops, [*keys, far]).withColumn(name, F.col(name) + F.col(top)).drop(far, top)
+
+
 # --- Arrow text as flat numpy buffers -------------------------------------------------------------
 
 

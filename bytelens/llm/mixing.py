@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, scratch, source_key, spread, table
+from .common import SPACE_WORD, running, scratch, source_key, spread, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -135,11 +135,7 @@ def mix(docs: DataFrame, seed: int = 42, weights=WEIGHTS, share: float = SHARE,
     nb = max(1, -(-rows // BUCKET))
     base = base.withColumn("_b", F.shiftright(F.col("_h") * F.lit(nb), 31))
     ahead = base.groupBy("_src", "_b").agg(F.sum("size").alias("_c"))
-    ahead = ahead.select(
-        F.col("_src").alias("_s2"),
-        F.col("_b").alias("_b2"),
-        (F.sum("_c").over(Window.partitionBy("_src").orderBy("_b")) - F.col("_c")).alias("_ahead"),
-    )
+    ahead = running(ahead, ["_src"], "_b", "_c", "_ahead").select(F.col("_src").alias("_s2"), F.col("_b").alias("_b2"), "_ahead")
     inside = Window.partitionBy("_src", "_b").orderBy("_h", "doc_id", "_crc", "size")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     placed = (

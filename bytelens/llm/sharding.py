@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, source_key, spread, table
+from .common import running, scratch, source_key, spread, table
 
 BUCKET = 2048
 
@@ -32,13 +32,9 @@ def interleave(rows: DataFrame, n_shards: int, order: list[str], stratum: str =
     nb = max(1, -(-total // BUCKET))
     rows = rows.withColumn("_b", F.shiftright(F.col("_h") * F.lit(nb), 31))
     counts = rows.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(stratum).orderBy("_b")
-    counts = counts.select(
-        F.col(stratum).alias("_s2"),
-        F.col("_b").alias("_b2"),
-        (F.sum("_c").over(before) - F.col("_c")).alias("_before"),
-        F.sum("_c").over(Window.partitionBy(stratum)).alias("_n"),
-    )
+    sizes = counts.groupBy(F.col(stratum).alias("_s3")).agg(F.sum("_c").alias("_n"))
+    counts = running(counts, [stratum], "_b", "_c", "_before").select(F.col(stratum).alias("_s2"), F.col("_b").alias("_b2"), "_before")
+    counts = counts.join(sizes, F.col("_s2") == F.col("_s3")).drop("_s3")
     inside = Window.partitionBy(stratum, "_b").orderBy("_h", *order)
     ranked = (
         rows.withColumn("_r", F.row_number().over(inside) - 1)
@@ -49,9 +45,7 @@ def interleave(rows: DataFrame, n_shards: int, order: list[str], stratum: str =
     )
     ranked = scratch(ranked, "shard-ranks")
     cells = ranked.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"))
-    cells = cells.select(
-        F.col("_g").alias("_g2"), (F.sum("_c").over(Window.orderBy("_g")) - F.col("_c")).alias("_before")
-    )
+    cells = running(cells, [], "_g", "_c", "_before").select(F.col("_g").alias("_g2"), "_before")
     place = Window.partitionBy("_g").orderBy("_f", stratum, "_h", *order, "_r")
     p = F.col("_before") + F.col("_r2")
     out = (

@@ -10,7 +10,8 @@ once, and the groups' best are merged. Scores are exact integers; bounds carry a
 
 Defined cases: null vectors, vectors with null or non-finite components and rows without vec_id take no part;
 a query meets only vectors of its own length, never rows with its own vec_id; a query row that repeats counts once,
-candidate rows that repeat count each; ties go to the smaller vec_id; empty tables give no rows; other columns are ignored.
+candidate rows that repeat count each; ties go to the smaller vec_id; empty tables give no rows; other columns are ignored;
+a score beyond 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -156,8 +157,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             dim = key[0].as_py()
             ids, q_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
             r, i, s = MTree(ids, _matrix(left.column("v"), dim)).search(q_ids, _matrix(right.column("v"), dim), k)
-            top = 2**63 - 1
-            out = {"query_id": pa.array(q_ids[r]), "vec_id": pa.array(i), "score": pa.array([max(-top, min(top, int(v))) for v in s], pa.int64())}
+            if any(abs(int(v)) >= 1 << 63 for v in s):
+                raise OverflowError("a score does not fit 64 bits")
+            out = {"query_id": pa.array(q_ids[r]), "vec_id": pa.array(i), "score": pa.array([int(v) for v in s], pa.int64())}
         return pa.table(out)
 
     cell = ["dim", "g", "b"]

@@ -270,6 +270,28 @@ def test_shards(spark, here):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(count[s]))
 
 
+def test_running_sums_over_stretches(spark):
+    from pyspark.sql import functions as F
+
+    from bytelens.llm.common import running
+
+    rows = [(s, b * 37, b % 5) for s in ("a", "b") for b in range(700)]
+    got = running(spark.createDataFrame(rows, "s string, b long, c long"), ["s"], "b", "c", "before").collect()
+    assert {(r["s"], r["b"]): r["before"] for r in got} == {(s, b): sum(c2 for s2, b2, c2 in rows if s2 == s and b2 < b) for s, b, _ in rows}
+    one = running(spark.createDataFrame(rows[:700], "s string, b long, c long").drop("s"), [], "b", "c", "before").agg(F.max("before")).first()[0]
+    assert one == sum(c for _, _, c in rows[:700]) - rows[699][2]
+
+
+def test_long_texts_are_cut_in_parts():
+    from bytelens.llm import language
+
+    texts = ["ab cd " * 5000, None, "x", "y" * 9000, ""]
+    rows, strings = zip(*((r, s) for rs, ss in language.parts(texts, 2000) for r, s in zip(rs.tolist(), ss)))
+    for i, t in enumerate(texts):
+        assert "".join(s for r, s in zip(rows, strings) if r == i) == (t or "")
+    assert max(map(len, strings)) <= 2000
+
+
 def shingles(t, k=5):
     w = space_words(t)
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
