@@ -25,10 +25,10 @@ from .common import SPACE_WORD, running, scratch, source_key, spread, table
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
-BUCKET = 2048
+BUCKET = 512
 RUN = 1 << 14
 MAX_SOURCES = 100_000
-MAX_SLOTS = 4_000_000
+MAX_SLOTS = 1_000_000
 GOLDEN = 0x9E3779B97F4A7C15
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import running, scratch, source_key, spread, table
 
-BUCKET = 2048
+BUCKET = 512
 
 
 def interleave(rows: DataFrame, n_shards: int, order: list[str], stratum: str = "_src") -> DataFrame:
