@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 LAGS = (1, 2, 4, 8, 16, 32, 64, 256)
 #: Bytes worked on at once (one text at least).
-PIECE = 1 << 20
+PIECE = 1 << 22
 
 
 def _flat(text) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +55,15 @@ def _part(kind: str, i: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
     return np.zeros(len(i), np.int64)
 
 
+def _tally(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often they occur: by a dense table where the keys are small."""
+    if len(key) and key.max() < max(1 << 16, 2 * len(key)):
+        c = np.bincount(key)
+        at = np.flatnonzero(c)
+        return at, c[at]
+    return np.unique(key, return_counts=True)
+
+
 def counts(docs: DataFrame, by: str, orders: list[int], part: str = "") -> DataFrame:
     """Partial counts c of byte x after the ``k`` bytes ctx (a number), by group and piece: ``by``, piece, k, ctx, x, c."""
 
@@ -73,7 +82,7 @@ def counts(docs: DataFrame, by: str, orders: list[int], part: str = "") -> DataF
                     some = np.flatnonzero((i >= k) & (p >= 0))
                     low = (ctx[some] << 8) | data[some]
                     high = group[some] * (int(p.max(initial=0)) + 1) + p[some]
-                    key, c = np.unique(high << 8 * (k + 1) | low, return_counts=True)
+                    key, c = _tally(high << 8 * (k + 1) | low)
                     high, low = key >> 8 * (k + 1), key & ((1 << 8 * (k + 1)) - 1)
                     g, p = np.divmod(high, int(p.max(initial=0)) + 1)
                     columns = [names.dictionary.take(pa.array(g)), pa.array(p), pa.array(np.full(len(c), k)), pa.array(low >> 8), pa.array(low & 255), pa.array(c)]
