@@ -90,7 +90,8 @@ _MACROS = {
         "UTF": r"encode(\1, 'UTF-8')",
         "BIN": r"substring(\1, CAST(\2 AS INT), CAST(\3 AS INT))",
         "SHABIN": r"sha2(\1, 256)",
-        "WORDS": r"regexp_extract_all(lower(\1), '[a-z]+', 0)",
+        "WORDS": r"regexp_extract_all(lower(\1), '\\\\pL+', 0)",
+        "SIGNS": r"array_join(transform(\1, x -> CASE WHEN x > 0 THEN '1' ELSE '0' END), '')",
         "LEN": r"CAST(size(\1) AS BIGINT)",
         "AT": r"element_at(\1, CAST(\2 AS INT))",
         "SORTED": r"array_join(array_sort(collect_set(\1)), ',')",
@@ -112,7 +113,8 @@ _MACROS = {
         "UTF": r"encode(\1)",
         "BIN": r"\1[CAST(\2 AS INT):CAST(\2 AS INT) + CAST(\3 AS INT) - 1]",
         "SHABIN": r"sha256(\1)",
-        "WORDS": r"regexp_extract_all(lower(\1), '[a-z]+')",
+        "WORDS": r"regexp_extract_all(lower(\1), '\\pL+')",
+        "SIGNS": r"array_to_string(list_transform(\1, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')",
         "LEN": r"CAST(len(\1) AS BIGINT)",
         "AT": r"list_extract(\1, CAST(\2 AS INT))",
         "SORTED": r"array_to_string(list_sort(list_distinct(list(\1))), ',')",

@@ -114,6 +114,18 @@ def q32_auto_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_.crossJoin(best).select("width", "bytes", (F.col("width") == F.col("b.width")).alias("chosen"))
 
 
+def q144_block_width_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive bytes of each block size and context width: 32 for each block's entry, and its payload."""
+    items = spread(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rows = []
+    for size in (64, 256, 1024):
+        cut = blocks(items, "item_id", "text", size)
+        for width in (1, 2, 3):
+            got = codec.pack(cut, width).agg((32 * F.count(F.lit(1)) + F.sum(F.octet_length("payload"))).cast("long").alias("bytes"), F.sum(F.col("raw").cast("long")).alias("stored"))
+            rows.append(got.select(F.lit(size).alias("block"), F.lit(width).alias("width"), "bytes", "stored"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def q76_dictionary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -213,7 +225,7 @@ def q143_shipped_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (q70_codec_roundtrip, q71_archive_sizes, q72_read_verified, q73_tamper_detect, q65c_compressor_costs, q114_lz78_bits, q87_lru_hit_rate, q113_bca_interval,
-    q74_cm_roundtrip, q75_hashed_cm_roundtrip, q74b_cm_sizes, q33_two_pass_roundtrip, q33b_two_pass_fallback, q32_auto_width, q76_dictionary_roundtrip, q77_parse_saving, q88_tail_importance, q111_set_ranks, q112_huffman_length, q130_grammar_words, q142_conformance, q143_shipped_weights)}
+    q74_cm_roundtrip, q75_hashed_cm_roundtrip, q74b_cm_sizes, q33_two_pass_roundtrip, q33b_two_pass_fallback, q32_auto_width, q76_dictionary_roundtrip, q77_parse_saving, q88_tail_importance, q111_set_ranks, q112_huffman_length, q130_grammar_words, q142_conformance, q143_shipped_weights, q144_block_width_grid)}
 QUERIES |= {"q89_stream_event_counts": streams.stream_event_counts, "q90_stream_daily": streams.stream_hourly, "q91_dedupe_sink": streams.dedupe_sink, "q140_stream_block_bits": streams.stream_block_bits, "q141_stream_carried_bits": streams.stream_carried_bits}
 ORACLES = {
     "q70_codec_roundtrip": "WITH d AS (SELECT item_id, encode(text) AS b FROM benchmark), k AS (SELECT item_id, b, unnest(range((octet_length(b) + 127) // 128)) AS blk FROM d) SELECT item_id, blk, sha256(b[blk * 128 + 1 : blk * 128 + 128]) AS sha, true AS intact FROM k",

@@ -112,7 +112,11 @@ SELECT round(max(greatest(abs(CAST(i AS DOUBLE) / n - v), abs(CAST(i - c AS DOUB
 n AS (SELECT w, lead(w, 1) OVER v AS w1, lead(w, 2) OVER v AS w2 FROM t WINDOW v AS (PARTITION BY item_id ORDER BY i)),
 p AS (SELECT least(w, w1) AS a, greatest(w, w1) AS b FROM n WHERE w1 <> w UNION ALL SELECT least(w, w2), greatest(w, w2) FROM n WHERE w2 <> w)
 SELECT a, b, count(*) AS n FROM p GROUP BY a, b""",
-    "q103_embedding_bit_tc": f"WITH r AS (SELECT {', '.join(f'CASE WHEN @AT{{embedding|{k}}} > 0 THEN 1 ELSE 0 END AS d{k}' for k in range(1, 7))} FROM embeddings WHERE embedding IS NOT NULL) SELECT round({' + '.join(_h(f'd{k}') for k in range(1, 7))} - {_h(', '.join(f'd{k}' for k in range(1, 7)))}, 6) AS tc",
+    "q103_embedding_bit_tc": """WITH s AS (SELECT @SIGNS{embedding} AS s FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT count(*) AS n FROM s),
+d AS (SELECT k.id AS k, sum(CASE WHEN substr(s, CAST(k.id + 1 AS INT), 1) = '1' THEN 1 ELSE 0 END) AS c FROM s CROSS JOIN @IDS{64} k GROUP BY k.id),
+m AS (SELECT sum(CASE WHEN c = 0 OR c = n THEN 0 ELSE -(CAST(c AS DOUBLE) / n) * log2(CAST(c AS DOUBLE) / n) - (CAST(n - c AS DOUBLE) / n) * log2(CAST(n - c AS DOUBLE) / n) END) AS h, sum(CASE WHEN c = 0 OR c = n THEN 0 ELSE 1 END) AS free FROM d CROSS JOIN n),
+j AS (SELECT s, count(*) AS c FROM s GROUP BY s), h AS (SELECT -sum(CAST(c AS DOUBLE) / n * log2(CAST(c AS DOUBLE) / n)) AS h, count(*) AS patterns FROM j CROSS JOIN n)
+SELECT round(m.h - h.h, 6) AS tc, round(m.h - h.h + (free - (patterns - 1)) / (2.0 * n * ln(2)), 6) AS tc_mm, patterns FROM m CROSS JOIN h CROSS JOIN n""",
     "q110_zipf_weights": "WITH w AS (SELECT id + 1 AS k, 1.0 / (id + 1) AS w FROM @IDS{100}), c AS (SELECT k, sum(w) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) / sum(w) OVER () AS hit FROM w) SELECT CAST(k AS BIGINT) AS capacity, round(CAST(hit AS DOUBLE), 6) AS lfu_hit FROM c",
     "q115_sum_order_invariance": "WITH x AS (SELECT l_orderkey % 16 AS part_no, l_partkey * 1000003 + l_suppkey AS v FROM lineitem), p AS (SELECT part_no, sum(v) AS s FROM x GROUP BY part_no) SELECT CAST((SELECT sum(s) FROM p) AS BIGINT) AS by_parts, CAST((SELECT sum(v) FROM x) AS BIGINT) AS at_once",
 }
