@@ -35,7 +35,7 @@ SPAN = 50
 GRAM = 16
 UNIT = 2_000_000
 #: Bytes of text a reducer answers for.
-GROUP = 16_000_000
+GROUP = 8_000_000
 #: Bytes hashed at once: what numpy works on then stays in the processor's cache.
 CACHED = 1 << 15
 _PLACE = U((1 << 16) - 1)
