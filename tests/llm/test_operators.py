@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+from brute import alnum_words, classes, low, space_words
 from bytelens.llm import decontaminate, licenses, registry
 from bytelens.llm import simhash as simhash_module
 from bytelens.llm.html import grow, main_text, LABELLED
@@ -71,18 +72,6 @@ def got(spark, here, name):
     return [r.asDict() for r in registry.QUERIES[name](spark, here).collect()]
 
 
-def low(s):
-    return re.sub("[A-Z]", lambda m: m[0].lower(), s or "")
-
-
-def space_words(s):
-    return re.findall(r"[^\x20\x09-\x0D]+", low(s))
-
-
-def alnum_words(s):
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(s))
-
-
 def same(rows, expected, keys):
     order = lambda r: str(r)
     assert sorted([tuple(r[k] for k in keys) for r in rows], key=order) == sorted(expected, key=order)
@@ -292,29 +281,6 @@ def test_long_texts_are_cut_in_parts():
     assert max(map(len, strings)) <= 2000
 
 
-def shingles(t, k=5):
-    w = space_words(t)
-    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
-
-
-def classes(texts, least=0.8):
-    """Smallest row that each text reaches by links of a Jaccard similarity of ``least`` or more."""
-    sets = [shingles(t) for t in texts]
-    root = list(range(len(texts)))
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if texts[i] == texts[j] or (sets[i] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])):
-                a, b = sorted((top(i), top(j)))
-                root[b] = a
-    return [top(i) for i in range(len(texts))]
-
-
 def test_pipeline_keeps_one_of_each_class_of_similar_texts(spark):
     rng = np.random.default_rng(9)
     texts = []
