@@ -33,18 +33,11 @@ o AS (SELECT source, CAST(k AS BIGINT) AS ord, round(-sum(n * log2((c + 1) / (t
 def _cmi(key: str, source: str, cells: str = "") -> str:
     """I(high; low | context) in bits with the Miller-Madow correction, from ``cells`` (key, c, x, m): counts m of bytes x after contexts c."""
     cells = cells or f"SELECT {key}, c, x, count(*) AS m FROM p0 GROUP BY {key}, c, x"
-    parts = ",\n".join(
-        f"{n} AS (SELECT {key}, sum(m * log2(m)) AS s{n}, count(*) AS k{n} FROM (SELECT {key}, {cols}, sum(m) AS m FROM y GROUP BY {key}, {cols}) z GROUP BY {key})"
-        for n, cols in (("cx", "c, hi, lo"), ("ch", "c, hi"), ("cl", "c, lo"), ("c0", "c"))
-    )
-    on = " AND ".join(f"{{a}}.{k.strip()} = {{b}}.{k.strip()}" for k in key.split(","))
-    join = " ".join(f"JOIN {t} ON {on.format(a='cx', b=t)}" for t in ("ch", "cl", "c0", "nn"))
-    cols = ", ".join(f"cx.{k.strip()}" for k in key.split(","))
     return f"""{source},
 j0 AS ({cells}), y AS (SELECT *, x % 16 AS lo, @DIV{{x|16}} AS hi FROM j0),
-{parts},
-nn AS (SELECT {key}, sum(m) AS n FROM y GROUP BY {key})
-SELECT {cols}, round((scx + sc0 - sch - scl) / n - (kcx - kch - kcl + kc0) / (2.0 * n * ln(2)), 6) AS cmi FROM cx {join}"""
+z AS (SELECT {key}, grouping(hi) AS gh, grouping(lo) AS gl, sum(m) AS m FROM y GROUP BY GROUPING SETS (({key}, c, hi, lo), ({key}, c, hi), ({key}, c, lo), ({key}, c))),
+w AS (SELECT *, CASE WHEN gh = gl THEN 1 ELSE -1 END AS s, CASE WHEN gh = 1 AND gl = 1 THEN m ELSE 0 END AS whole FROM z)
+SELECT {key}, round(sum(s * m * log2(m)) / sum(whole) - sum(s) / (2.0 * sum(whole) * ln(2)), 6) AS cmi FROM w GROUP BY {key}"""
 
 
 _BLK = """WITH d AS (SELECT doc_id, source, text, CAST(octet_length(@UTF{text}) AS BIGINT) AS n FROM documents),

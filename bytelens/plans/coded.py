@@ -251,3 +251,16 @@ ORACLES["q87_lru_hit_rate"] = """WITH r AS (SELECT user_id, event_type, row_numb
 p AS (SELECT *, lag(i) OVER (PARTITION BY user_id, event_type ORDER BY i) AS j FROM r),
 d AS (SELECT p.user_id, p.i, count(DISTINCT b.event_type) AS others FROM p LEFT JOIN r b ON b.user_id = p.user_id AND b.i > p.j AND b.i < p.i WHERE p.j IS NOT NULL GROUP BY p.user_id, p.i)
 SELECT p.user_id, count(*) AS requests, CAST(sum(CASE WHEN d.others < 3 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM p LEFT JOIN d ON p.user_id = d.user_id AND p.i = d.i GROUP BY p.user_id"""
+ORACLES["q112_huffman_length"] = """WITH RECURSIVE c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type),
+h AS (SELECT user_id, list_sort(list(n)) AS w, CAST(0 AS BIGINT) AS cost FROM c GROUP BY user_id
+  UNION ALL SELECT user_id, list_sort(list_append(w[3:], w[1] + w[2])) AS w, cost + w[1] + w[2] AS cost FROM h WHERE len(w) > 1),
+k AS (SELECT user_id, count(*) AS symbols, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY user_id)
+SELECT k.user_id, symbols, n, round(cost / n, 6) AS mean_bits FROM h JOIN k ON k.user_id = h.user_id WHERE len(w) = 1"""
+ORACLES["q114_lz78_bits"] = """WITH RECURSIVE d AS (SELECT item_id, encode(text) AS b FROM benchmark),
+k AS (SELECT item_id, b, unnest(range((octet_length(b) + 127) // 128)) AS blk FROM d),
+t AS (SELECT item_id, blk, hex(b[blk * 128 + 1 : blk * 128 + 128]) AS h FROM k),
+p AS (SELECT item_id, blk, h, CAST(0 AS BIGINT) AS i, [''] AS known, '' AS phrase, CAST(0 AS BIGINT) AS bits FROM t
+  UNION ALL SELECT item_id, blk, h, i + 2, CASE WHEN found THEN known ELSE list_append(known, longer) END, CASE WHEN found THEN longer ELSE '' END,
+    CASE WHEN found THEN bits ELSE bits + greatest(1, CAST(ceil(log2(len(known))) AS BIGINT)) + 8 END
+  FROM (SELECT *, phrase || h[i + 1 : i + 2] AS longer, list_contains(known, phrase || h[i + 1 : i + 2]) AS found FROM p WHERE i < len(h)) s)
+SELECT item_id, blk, bits + CASE WHEN phrase = '' THEN 0 ELSE greatest(1, CAST(ceil(log2(len(known))) AS BIGINT)) END AS bits FROM p WHERE i = len(h)"""
