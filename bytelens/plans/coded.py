@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelens.functions.dialect import duck_sql, spread
-from bytelens.operators import codec, enumerative, mixing, phrases, resample, twopass
+from bytelens.operators import codec, enumerative, mixing, phrases, replica, resample, twopass
 from bytelens.sources.corpora import blocks
 from bytelens.sources.scratch import settled
 from bytelens.streaming import blocks as streams
@@ -224,8 +224,20 @@ def q143_shipped_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _roundtrip(spark, sf_dir, 2, lambda width: mixing.Frozen(width, shared.value))
 
 
+def q145_distortion_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distortion up to which the simple rate of a chain of two states holds, found from eigenvalues."""
+    cases = spark.range(1, 25).select(F.lit(2).alias("a"), (F.col("id") / 50).alias("p"))
+    return replica.thresholds(cases).select("p", F.round("d_max", 9).alias("d_max"))
+
+
+def q146_replica_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smallest ratio over angles for chains of two to four symbols."""
+    cases = spark.range(0, 15).select((F.col("id") % 3 + 2).cast("int").alias("a"), (F.expr("id DIV 3 + 1") / 20).alias("p"))
+    return replica.margins(cases).select("a", "p", "part", *(F.round(c, 9).alias(c) for c in ("d", "ratio", "angle")), (F.col("ratio") > 1.5).alias("clear"))
+
+
 QUERIES = {f.__name__: f for f in (q70_codec_roundtrip, q71_archive_sizes, q72_read_verified, q73_tamper_detect, q65c_compressor_costs, q114_lz78_bits, q87_lru_hit_rate, q113_bca_interval,
-    q74_cm_roundtrip, q75_hashed_cm_roundtrip, q74b_cm_sizes, q33_two_pass_roundtrip, q33b_two_pass_fallback, q32_auto_width, q76_dictionary_roundtrip, q77_parse_saving, q88_tail_importance, q111_set_ranks, q112_huffman_length, q130_grammar_words, q142_conformance, q143_shipped_weights, q144_block_width_grid)}
+    q74_cm_roundtrip, q75_hashed_cm_roundtrip, q74b_cm_sizes, q33_two_pass_roundtrip, q33b_two_pass_fallback, q32_auto_width, q76_dictionary_roundtrip, q77_parse_saving, q88_tail_importance, q111_set_ranks, q112_huffman_length, q130_grammar_words, q142_conformance, q143_shipped_weights, q144_block_width_grid, q145_distortion_thresholds, q146_replica_margins)}
 QUERIES |= {"q89_stream_event_counts": streams.stream_event_counts, "q90_stream_daily": streams.stream_hourly, "q91_dedupe_sink": streams.dedupe_sink, "q140_stream_block_bits": streams.stream_block_bits, "q141_stream_carried_bits": streams.stream_carried_bits}
 ORACLES = {
     "q70_codec_roundtrip": "WITH d AS (SELECT item_id, encode(text) AS b FROM benchmark), k AS (SELECT item_id, b, unnest(range((octet_length(b) + 127) // 128)) AS blk FROM d) SELECT item_id, blk, sha256(b[blk * 128 + 1 : blk * 128 + 128]) AS sha, true AS intact FROM k",
@@ -264,3 +276,4 @@ p AS (SELECT item_id, blk, h, CAST(0 AS BIGINT) AS i, [''] AS known, '' AS phras
     CASE WHEN found THEN bits ELSE bits + greatest(1, CAST(ceil(log2(len(known))) AS BIGINT)) + 8 END
   FROM (SELECT *, phrase || h[i + 1 : i + 2] AS longer, list_contains(known, phrase || h[i + 1 : i + 2]) AS found FROM p WHERE i < len(h)) s)
 SELECT item_id, blk, bits + CASE WHEN phrase = '' THEN 0 ELSE greatest(1, CAST(ceil(log2(len(known))) AS BIGINT)) END AS bits FROM p WHERE i = len(h)"""
+ORACLES["q145_distortion_thresholds"] = "SELECT p, round(0.5 * (1 - sqrt(1 - 2 * p) / (1 - p)), 9) AS d_max FROM (SELECT CAST(k AS DOUBLE) / 50 AS p FROM (SELECT unnest(range(1, 25)) AS k) r) t"
