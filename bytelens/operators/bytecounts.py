@@ -6,13 +6,19 @@ left to Spark is one aggregation of small rows. Null and empty texts have no byt
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LAGS = (1, 2, 4, 8, 16, 32, 64, 256)
 #: Bytes worked on at once (one text at least).
 PIECE = 1 << 22
+#: Bytes of a group that are permuted at once (those after one byte at least), and places whose digits are kept.
+PORTION = 1 << 24
+_DIGITS = [b"%d" % i for i in range(1 << 15)]
 
 
 def _flat(text) -> tuple[np.ndarray, np.ndarray]:
@@ -150,3 +156,78 @@ def lagged(docs: DataFrame, by: str) -> DataFrame:
 
     kind = dict(docs.dtypes)[by]
     return docs.select(by, "text").mapInArrow(run, f"{by} {kind}, lag long, n long, sx long, sy long, sxy long")
+
+
+def _digests(doc: int, places: np.ndarray) -> np.ndarray:
+    """SHA-256 of ``7:doc:place``, a row each."""
+    head = b"7:%d:" % doc
+    if len(places) and places[-1] < len(_DIGITS):
+        found = [sha256(head + _DIGITS[i]).digest() for i in places.tolist()]
+    else:
+        found = [sha256(head + b"%d" % i).digest() for i in places.tolist()]
+    return np.frombuffer(b"".join(found), np.uint8).reshape(-1, 32)
+
+
+def _by_digest(ctx: np.ndarray, h: np.ndarray, whole) -> np.ndarray:
+    """Stable order by ``ctx`` and digest; ``h``: the digests' first eight bytes, ``whole``: a row's digest, asked for where these agree."""
+    order = np.argsort(h, kind="stable")
+    order = order[np.argsort(ctx[order], kind="stable")]
+    c, k = ctx[order], h[order]
+    tied = np.flatnonzero((k[1:] == k[:-1]) & (c[1:] == c[:-1]))
+    for run in np.split(tied, np.flatnonzero(np.diff(tied) > 1) + 1) if len(tied) else ():
+        rows = order[run[0] : run[-1] + 2].tolist()
+        order[run[0] : run[-1] + 2] = sorted(rows, key=lambda r: (whole(r), r))
+    return order
+
+
+def _permuted(ids: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Counts of (byte before, high half and low half that met) of texts in the order of their ids."""
+    out = np.zeros(1 << 16, np.int64)
+    first = np.zeros(len(data), bool)
+    first[off[:-1][np.diff(off) > 0]] = True
+    before = np.concatenate([np.zeros(min(1, len(data)), np.uint8), data[:-1]])
+    many, repeated = np.bincount(before[~first], minlength=256), bool((ids[1:] == ids[:-1]).any())
+    c = 0
+    while c < 256:
+        to = c + max(1, int(np.searchsorted(np.cumsum(many[c:]), PORTION, side="right")))
+        at = np.flatnonzero((before >= c) & (before < min(to, 256)) & ~first)
+        c = to
+        if not len(at):
+            continue
+        h, cut = np.empty(len(at), np.uint64), np.searchsorted(at, off)
+        for d in np.flatnonzero(np.diff(cut)).tolist():
+            for a in range(cut[d], cut[d + 1], PIECE):
+                b = min(a + PIECE, cut[d + 1])
+                h[a:b] = np.ascontiguousarray(_digests(int(ids[d]), at[a:b] - off[d])[:, :8]).view(">u8").ravel()
+        if repeated:  # texts of one id take turns
+            doc = np.searchsorted(off, at, side="right") - 1
+            turn = np.lexsort((at - off[doc], ids[doc]))
+            at, h = at[turn], h[turn]
+
+        def whole(row: int, at=at) -> bytes:
+            d = int(np.searchsorted(off, at[row], side="right")) - 1
+            return sha256(b"7:%d:%d" % (ids[d], at[row] - off[d])).digest()
+
+        ctx = before[at]
+        plain, drawn = at[np.argsort(ctx, kind="stable")], at[_by_digest(ctx, h, whole)]
+        out += np.bincount(before[plain].astype(np.int64) << 8 | data[plain] & 0xF0 | data[drawn] & 15, minlength=1 << 16)
+    return out
+
+
+def permuted(docs: DataFrame, size: int = 4096) -> DataFrame:
+    """Partial counts m of byte x after byte c by source, low halves dealt anew: within a source, ``size`` ids and a byte before,
+    the n-th high half by (doc_id, place) meets the n-th low half by SHA-256 of ``7:doc_id:place``.
+
+    Rows without source or doc_id take no part. A task holds the texts of a source with ``size`` ids, and 40 bytes or so for each of ``PORTION`` bytes.
+    """
+
+    def run(key, table):
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        data, off = _flat(table.column("text").combine_chunks())
+        m = _permuted(table.column("doc_id").to_numpy(), data, off)
+        at = np.flatnonzero(m)
+        return pa.table({"source": pa.array([key[0].as_py()] * len(at), pa.string()), "c": at >> 8, "x": at & 255, "m": m[at]})
+
+    some = docs.filter("source IS NOT NULL AND doc_id IS NOT NULL AND octet_length(text) > 1")
+    some = some.select("source", "doc_id", "text", F.expr(f"doc_id DIV {size}").alias("piece"))
+    return some.groupBy("source", "piece").applyInArrow(run, "source string, c long, x long, m long")

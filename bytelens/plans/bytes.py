@@ -5,7 +5,10 @@ Texts are streams of UTF-8 bytes; a source is a corpus. Positions are explicit,
 
 from __future__ import annotations
 
-from bytelens.functions.dialect import POISSON
+from pyspark.sql import DataFrame, SparkSession
+
+from bytelens.functions.dialect import POISSON, render, spread
+from bytelens.operators import bytecounts
 
 _LADDER = """WITH @COUNTS{source|0,1,2,3|},
 t AS (SELECT *, sum(c) OVER (PARTITION BY source, k, ctx) AS t FROM j)
@@ -117,3 +120,14 @@ c AS (SELECT source, CASE @POP{@XOR{x|y}} WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THE
 t AS (SELECT *, sum(c) OVER (PARTITION BY source) AS n FROM c)
 SELECT source, round(-sum(c / n * log2(c / n)), 6) AS class_bits, round(sum(c / n * CASE class WHEN 0 THEN 0 WHEN 1 THEN 4 WHEN 2 THEN 7 ELSE 12 END), 6) AS payload_bits FROM t GROUP BY source""",
 }
+
+
+def q12_cmi_perm_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the SQL of this name says, with whole texts dealt to tasks instead of a row a byte."""
+    met = bytecounts.permuted(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    cells = "SELECT source, c, x, sum(m) AS m FROM {met} GROUP BY source, c, x"
+    return spark.sql(render(_cmi("source", "WITH one AS (SELECT 1)", "CELLS"), "spark").replace("CELLS", cells), met=met)
+
+
+#: Queries that Spark runs by kernels of their own; their SQL is the oracle.
+QUERIES = {"q12_cmi_perm_null": q12_cmi_perm_null}
