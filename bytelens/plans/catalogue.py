@@ -16,5 +16,5 @@ def _run(query: str, spark, sf_dir: str):
     return spark_sql(spark, sf_dir, query)
 
 
-QUERIES: dict = {**{name: partial(_run, query) for name, query in _SQL.items()}, **coded.QUERIES, **byte_plans.QUERIES}
+QUERIES: dict = {**{name: partial(_run, query) for name, query in _SQL.items()}, **coded.QUERIES, **byte_plans.QUERIES, **records.QUERIES}
 ORACLES: dict = {**{name: duck_sql(query) for name, query in _SQL.items()}, **coded.ORACLES}

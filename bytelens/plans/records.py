@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from bytelens.functions.dialect import POISSON
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bytelens.functions.dialect import POISSON, spread
 
 _L = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag AS f0, l_linestatus AS f1, CAST(l_linenumber AS VARCHAR(20)) AS f2, CAST(CAST(round(l_discount * 100) AS INT) AS VARCHAR(20)) AS f3 FROM lineitem"
 
@@ -120,3 +123,20 @@ SELECT round(m.h - h.h, 6) AS tc, round(m.h - h.h + (free - (patterns - 1)) / (2
     "q110_zipf_weights": "WITH w AS (SELECT id + 1 AS k, 1.0 / (id + 1) AS w FROM @IDS{100}), c AS (SELECT k, sum(w) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) / sum(w) OVER () AS hit FROM w) SELECT CAST(k AS BIGINT) AS capacity, round(CAST(hit AS DOUBLE), 6) AS lfu_hit FROM c",
     "q115_sum_order_invariance": "WITH x AS (SELECT l_orderkey % 16 AS part_no, l_partkey * 1000003 + l_suppkey AS v FROM lineitem), p AS (SELECT part_no, sum(v) AS s FROM x GROUP BY part_no) SELECT CAST((SELECT sum(s) FROM p) AS BIGINT) AS by_parts, CAST((SELECT sum(v) FROM x) AS BIGINT) AS at_once",
 }
+
+
+def q115_sum_order_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the SQL of this name says, in exact decimals; sums beyond BIGINT, where the SQL is an error, stay DECIMAL(38, 0)."""
+    wide = lambda c: F.col(c).cast("decimal(19, 0)")
+    items = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    x = items.select((F.col("l_orderkey") % 16).alias("part_no"), (wide("l_partkey") * 1000003 + wide("l_suppkey")).alias("v"))
+    by_parts = x.groupBy("part_no").agg(F.sum("v").alias("s")).agg(F.sum("s").alias("by_parts"))
+    sums = by_parts.crossJoin(x.agg(F.sum("v").alias("at_once"))).first()
+    fits = all(s is None or -(1 << 63) <= s < 1 << 63 for s in sums)
+    row = tuple(s if s is None or not fits else int(s) for s in sums)
+    kind = "bigint" if fits else "decimal(38, 0)"
+    return spark.createDataFrame([row], f"by_parts {kind}, at_once {kind}")
+
+
+#: Queries that Spark runs by plans of their own; their SQL is the oracle.
+QUERIES = {"q115_sum_order_invariance": q115_sum_order_invariance}
