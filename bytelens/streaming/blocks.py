@@ -37,9 +37,10 @@ def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table's folder as a stream of files (the table's own only)."""
+    """A table as a stream of files, be it one file or a folder of them."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    # by a pattern: a stream takes a plain path for a folder
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
