@@ -12,7 +12,8 @@ Tiles return spanning links, not all pairs. A fingerprint of over a 500th of the
 ``similar_documents`` finds documents that share ``SIMILARITY`` of their ``WORDS``-word shingles: fingerprints of pairs of words, three a document
 with different seeds, are close where texts are, links of any are candidates, and every one is verified by the exact Jaccard similarity
 of the shingle sets. Of a group of close texts ``FORESTS`` spanning forests of its nearest links are verified (a number of links in proportion to the
-texts): the similar ones are among them unless all of so many nearer links fail.
+texts). What these miss is found exactly: similar sets share one of their first shingles in any order common to all (here rare ones first, by counts of all
+texts in ``ORDER_BITS`` bits of slots), so every two texts that share such a shingle and are not yet of one class are verified, unless sizes and places exclude them.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; repeated rows come back
 as rows; a component whose ids are all null has a null component_id; an empty table gives an empty result; other
@@ -21,6 +22,7 @@ columns are left alone.
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -41,6 +43,8 @@ BUCKET = 1024
 #: Similar documents: words of a shingle and the least Jaccard similarity; words of the fingerprints' shingles, their seeds, bits they may differ in, and forests of links that are verified.
 WORDS, SIMILARITY = 5, 0.8
 PAIRS, SEEDS, NEAR, FORESTS = 2, (0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03), 7, 4
+#: Slots of the counts that order shingles (collisions cost time, not links), and slots that are added up together.
+ORDER_BITS, ORDER_BLOCK = 22, 1 << 14
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
@@ -313,8 +317,14 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     for more in found[1:]:
         pairs = pairs.unionByName(more)
     pairs = scratch(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
-    good = _verified(d, texts.select("key", F.col("first").alias("id")), pairs)
-    roots = components(good.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    firsts = texts.select("key", F.col("first").alias("id"))
+    good = _verified(d, firsts, pairs)
+    ends = [F.col("x").alias("a"), F.col("y").alias("b")]
+    roots = scratch(components(good.select(*ends)), "roots")
+    more = _unmet(d, roots)
+    if more.take(1):
+        good = good.unionAll(_verified(d, firsts, more))
+        roots = components(good.select(*ends))
     return texts.join(roots, texts["key"] == roots["node"], "left").select("key", "first", "rows", F.coalesce("root", "key").alias("root"))
 
 
@@ -330,6 +340,116 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(g)
 
 
+def _levels(rows: DataFrame) -> np.ndarray:
+    """How often shingles of each slot occur, as steps of a logarithm."""
+
+    def count(batches):
+        n = np.zeros(1 << ORDER_BITS, np.uint32)
+        for batch in batches:
+            for part in pieces(batch, "text", 1_000_000):
+                for t in part.column("text").cast(pa.binary()).to_pylist():
+                    np.add.at(n, _order_slots(shingle_set(t or b"", WORDS)), np.uint32(1))
+        packed = [zlib.compress(x.tobytes(), 1) for x in n.reshape(-1, ORDER_BLOCK)]
+        yield pa.RecordBatch.from_pydict({"b": pa.array(range(len(packed)), pa.int32()), "n": pa.array(packed, pa.binary())})
+
+    def add(key, t):
+        n = np.zeros(ORDER_BLOCK, np.int64)
+        for x in t.column("n").to_pylist():
+            n += np.frombuffer(zlib.decompress(x), np.uint32)
+        return pa.table({"b": [key[0].as_py()], "n": [np.floor(4 * np.log2(n + 1)).astype(np.uint8).tobytes()]}, pa.schema([("b", pa.int32()), ("n", pa.binary())]))
+
+    found = rows.select("text").mapInArrow(count, "b int, n binary").groupBy("b").applyInArrow(add, "b int, n binary").collect()
+    out = np.zeros(1 << ORDER_BITS, np.uint8)
+    for r in found:
+        out[r["b"] * ORDER_BLOCK : (r["b"] + 1) * ORDER_BLOCK] = np.frombuffer(bytes(r["n"]), np.uint8)
+    return out
+
+
+def _order_slots(s: np.ndarray) -> np.ndarray:
+    return (s >> U(64 - ORDER_BITS)).astype(np.int64)
+
+
+def _by_first(width: int, work):
+    """Turns batches of rows of longs, sorted by their first, into calls of ``work`` with whole groups."""
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(width)], axis=1))
+            if sum(map(len, held)) >= 60_000:
+                rows = np.concatenate(held)
+                change = np.flatnonzero(rows[1:, 0] != rows[:-1, 0])
+                cut = change[-1] + 1 if len(change) else 0
+                if cut:
+                    yield from work(rows[:cut])
+                held = [rows[cut:]]
+        if held:
+            yield from work(np.concatenate(held))
+
+    return run
+
+
+def cross_pairs(key: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, block: int = 1 << 20):
+    """Portions of pairs of one shingle's texts, of different classes, that can be similar; texts in the order of ``n``, shingles of their sets.
+
+    ``place``: where the shingle stands in the set's order. Of their first common shingle at most as many more are common as stand after it in either.
+    """
+    step = max(1, block // len(key))
+    for a in range(0, len(key), step):
+        i = np.arange(a, min(len(key), a + step))[:, None]
+        end = int(np.searchsorted(n, n[i[-1, 0]] / SIMILARITY + 1e-6, side="right"))
+        j = np.arange(a, end)[None, :]
+        most = np.minimum(n[i] - place[i], n[j] - place[j])
+        ok = (j > i) & (root[i] != root[j]) & (most * (1 + SIMILARITY) >= SIMILARITY * (n[i] + n[j]) - 1e-6)
+        x, y = np.nonzero(ok)
+        if len(x):
+            yield key[x + a], key[y + a]
+
+
+def _unmet(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (x, y) of keys in different classes among which are all that are similar. ``rows``: key, text; ``roots``: node, root of what is linked."""
+    levels = rows.sparkSession.sparkContext.broadcast(_levels(rows))
+
+    def prefixes(batches):
+        for batch in batches:
+            for part in pieces(batch, "text", 1_000_000):
+                keys, at = np.unique(part.column("key").to_numpy(), return_index=True)
+                texts = part.column("text").cast(pa.binary())
+                out = [[np.zeros(0, np.int64)] * 4]
+                for key, k in zip(keys.tolist(), at.tolist()):
+                    s = shingle_set(texts[k].as_py() or b"", WORDS)
+                    n = len(s)
+                    first = n - int(np.ceil(SIMILARITY * n - 1e-6)) + 1 if n else 0
+                    s = s[np.lexsort((s, levels.value[_order_slots(s)]))[:first]]
+                    out.append([s.view(np.int64), np.full(len(s), key), np.arange(len(s)), np.full(len(s), n)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["s", "key", "place", "n"])
+
+    def shared(found):
+        found = found[np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(axis=1)])]  # copies of a text
+        begin = np.flatnonzero(np.concatenate([[True], found[1:, 0] != found[:-1, 0]]))
+        size = np.diff(np.append(begin, len(found)))
+        some = found[np.repeat(size > 1, size)]
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[:, c])) for c in range(4)], ["s", "key", "place", "n"])
+
+    def pair(found):
+        begin = np.flatnonzero(np.concatenate([[True], found[1:, 0] != found[:-1, 0]]))
+        end = np.append(begin[1:], len(found))
+        apart = np.minimum.reduceat(found[:, 4], begin) != np.maximum.reduceat(found[:, 4], begin)
+        for a, b in zip(begin[apart].tolist(), end[apart].tolist()):
+            g = found[a:b]
+            for x, y in cross_pairs(g[:, 1], g[:, 4], g[:, 3], g[:, 2]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+
+    kind = "s long, key long, place long, n long"
+    met = rows.select("key", "text").mapInArrow(prefixes, kind).repartition("s").sortWithinPartitions("s", "key").mapInArrow(_by_first(4, shared), kind)
+    met = scratch(met, "shared")
+    met = met.join(roots, met["key"] == roots["node"], "left").select("s", "key", "place", "n", F.coalesce("root", "key").alias("root"))
+    pairs = met.repartition("s").sortWithinPartitions("s", "n", "key").mapInArrow(_by_first(5, pair), "x long, y long")
+    return scratch(pairs.distinct(), "unmet")
+
+
 def _verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (x, y) of keys whose texts' shingle sets have a Jaccard similarity of ``SIMILARITY`` or more.
 
