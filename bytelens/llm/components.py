@@ -17,7 +17,7 @@ from .common import scratch
 HUB = 500
 
 
-def join_unique(rows: DataFrame, unique: DataFrame, key: str, total: int) -> DataFrame:
+def join_unique(rows: DataFrame, unique: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """``rows`` (``total`` of them) joined to ``unique``, whose ``n`` says how many rows have its key; hot keys by broadcast."""
     most = max(16, -(-total // HUB))
     hot = unique.filter(F.col("n") > most)

@@ -214,10 +214,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fps: DataFrame, radius: int = RADIUS, nearest: int = 0) -> DataFrame:
-    """Distinct longs ``fp`` to spanning links (a, b) of those that differ in ``radius`` bits at most; ``nearest``: of so many forests, nearest links first."""
-    n = fps.count()
-    keys = [F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks(n, radius))]
+def links(fps: DataFrame, radius: int = RADIUS, nearest: int = 0, kinds: int = 1) -> DataFrame:
+    """Distinct longs ``fp`` to spanning links (a, b) of those that differ in ``radius`` bits at most; ``nearest``: of so many forests, nearest links first.
+
+    ``kinds``: fingerprints are of so many kinds, 0 and so on in the column ``kind``, and only those of one kind meet; links have the column too.
+    """
+    cuts = masks(-(-fps.count() // kinds), radius)
+    first = F.col("kind") * len(cuts) if kinds > 1 else F.lit(0)
+    keys = [F.struct((first + i).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(cuts)]
     dealt = fps.select("fp", F.explode(F.array(*keys)).alias("x")).select("fp", "x.t", "x.k")
     hot = dealt.groupBy("t", "k").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT)
     hot = hot.select("t", "k", F.ceil(F.col("c") / HOT).alias("parts"))
@@ -241,7 +245,7 @@ def links(fps: DataFrame, radius: int = RADIUS, nearest: int = 0) -> DataFrame:
                 j = spanning(len(f), found)
                 i = np.flatnonzero(j != np.arange(len(f)))
                 j = j[i]
-            return pa.RecordBatch.from_pydict({"a": rows[i, 4], "b": rows[j, 4]})
+            return pa.RecordBatch.from_pydict({"a": rows[i, 4], "b": rows[j, 4], "kind": (rows[i, 0] // len(cuts)).astype(np.int32)})
 
         for batch in batches:
             if not batch.num_rows:
@@ -259,7 +263,7 @@ def links(fps: DataFrame, radius: int = RADIUS, nearest: int = 0) -> DataFrame:
             yield out(np.ascontiguousarray(np.concatenate(held)))
 
     sorted_ = dealt.repartition(*cell).sortWithinPartitions(*cell)
-    return sorted_.mapInArrow(compare, "a long, b long")
+    return sorted_.mapInArrow(compare, "a long, b long, kind int")
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
@@ -304,27 +308,24 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     base = scratch(d.mapInArrow(scan, schema), "fingerprints")
     texts = base.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows"), *(F.min(f).alias(f) for f in prints))
     texts = scratch(texts, "texts")
-    found = []
-    for f in prints:
-        fps = scratch(texts.groupBy(F.col(f).alias("fp")).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")), "distinct")
-        near = scratch(links(fps.select("fp"), NEAR, FORESTS).distinct(), "near")
-        of = fps.select("fp", "key")
-        found.append(near.join(of.select(F.col("fp").alias("a"), F.col("key").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("key").alias("y")), "b").select("x", "y"))
-        # texts with one fingerprint: each with the smallest
-        total = texts.count()
-        found.append(join_unique(texts.select("key", F.col(f).alias("fp")), of.join(fps.select("fp", "n").filter("n > 1"), "fp").withColumnRenamed("key", "y"), "fp", total).filter("key <> y").select(F.col("key").alias("x"), "y"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
+    # the kinds of fingerprints go through one plan
+    of = texts.select("key", F.posexplode(F.array(*prints)).alias("kind", "fp"))
+    fps = scratch(of.groupBy("kind", "fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    near = scratch(links(fps.select("kind", "fp"), NEAR, FORESTS, len(prints)).distinct(), "near")
+    a, b = (fps.select("kind", F.col("fp").alias(c), F.col("least").alias(e)) for c, e in ("ax", "by"))
+    near = near.join(a, ["kind", "a"]).join(b, ["kind", "b"]).select("x", "y")
+    # texts with one fingerprint: each with the smallest
+    same = join_unique(of, fps.filter("n > 1"), ["kind", "fp"], len(prints) * texts.count()).filter("key <> least").select(F.col("key").alias("x"), F.col("least").alias("y"))
+    pairs = near.unionByName(same)
     pairs = scratch(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
     firsts = texts.select("key", F.col("first").alias("id"))
     good = _verified(d, firsts, pairs)
     ends = [F.col("x").alias("a"), F.col("y").alias("b")]
-    roots = scratch(components(good.select(*ends)), "roots")
+    roots = components(good.select(*ends))
     more = _unmet(d, roots)
     if more.take(1):
-        good = good.unionAll(_verified(d, firsts, more))
-        roots = components(good.select(*ends))
+        # the classes found stand for their links
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(_verified(d, firsts, more).select(*ends)))
     return texts.join(roots, texts["key"] == roots["node"], "left").select("key", "first", "rows", F.coalesce("root", "key").alias("root"))
 
 
